@@ -19,7 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     hooks: list[DataFrame] = []
     while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = live.select(F.inline(F.array(F.struct("a", "b"), turned)))
         hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
         above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
         hook = cut(hook.join(above, "up").select("node", F.col("top").alias("up")))

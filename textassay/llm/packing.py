@@ -26,7 +26,7 @@ MAX_TOKENS = 1024
 END_ID = 0
 
 #: Texts of these characters only take the fast byte-pair path; others go to the tokenizers library.
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7E¡-¬®-ɏ]")
+_PLAIN = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xFF" + chr(0x100) + "-" + chr(0x24F) + "]")
 
 
 def default_vocabulary() -> str:
