@@ -3,8 +3,8 @@
 P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all thresholds
 theta_0 < theta_1 < ...; the expected severity is the sum of P(grade > k).
 
-Features are the distinct lower-case words of a text and the beginnings of words
-(``PREFIXES`` letters); x counts distinct words per feature. Only features that
+Features are the lower-case words of a text and the beginnings of words (``PREFIXES``
+letters); a word that stands c times adds log2(1 + c) to its features. Only features that
 are markedly more common in toxic rows of the fitting sample carry weight, so
 long clean texts do not add up noise.
 
@@ -18,8 +18,10 @@ rows, those with the lowest hash of their id. All rows are scored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_of
 
 #: Bound on the labelled rows that are fitted.
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
 #: Most features that may carry weight, the toxic rows each must be in, and its least lift.
 MAX_FEATURES, MIN_ROWS, MIN_LIFT = 8192, 3, 8.0
@@ -42,8 +44,15 @@ CUTOFF = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def words_of(text: str) -> dict[str, float]:
+    """The distinct words with their amounts."""
+    return {w: math.log2(1 + c) for w, c in Counter(_WORD.findall(text.lower())).items()}
+
+
+def row_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashed features (repeated for each word that has them) and amounts."""
+    pairs = sorted((f, x) for w, x in words_of(text).items() for f in features_of(w))
+    return np.array([f for f, _ in pairs], "<u4"), np.array([x for _, x in pairs], "<f4")
 
 
 def features_of(word: str) -> list[int]:
@@ -72,8 +81,8 @@ def _adam(grad, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: float = 2e-4) -> OrdinalModel:
-    """Fit on feature lists (a feature repeats per distinct word that has it) and 0/1 labels.
+def fit_rows(rows: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: float = 2e-5) -> OrdinalModel:
+    """Fit on sorted feature lists with their amounts, and 0/1 labels.
 
     Without toxic rows, or without clean ones, nothing can be told apart: the model
     then has no weights and calls no text toxic.
@@ -81,22 +90,32 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: fl
     n, n_bad = len(rows), int(toxic.sum())
     if not n_bad or n_bad == n:
         return OrdinalModel()
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows) if len(owner) else np.empty(0, np.int64)
-    seen = np.unique(np.stack([flat, owner]), axis=1)
-    names, index = np.unique(seen[0], return_inverse=True)
-    bad = np.bincount(index, weights=toxic[seen[1]], minlength=len(names))
-    good = np.bincount(index, minlength=len(names)) - bad
+    first = lambda r: r[np.flatnonzero(np.diff(r, prepend=-1))] if len(r) else r
+    names, bad = np.unique(np.concatenate([first(r.astype(np.int64)) for r, t in zip(rows, toxic, strict=True) if t]), return_counts=True)
+    names, bad = names[bad >= MIN_ROWS], bad[bad >= MIN_ROWS]
+    if not len(names):
+        return OrdinalModel()
+
+    def within(row: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the known features, and which of the row's are known."""
+        at = np.minimum(np.searchsorted(known, row), len(known) - 1)
+        hit = known[at] == row
+        return at[hit], hit
+
+    good = np.zeros(len(names), np.int64)
+    for r, t in zip(rows, toxic, strict=True):
+        if not t:
+            good[within(r, names)[0]] += 1
     lift = (bad / n_bad) / ((good + 0.5) / (n - n_bad))
-    picked = np.flatnonzero((bad >= MIN_ROWS) & (lift >= MIN_LIFT))
+    picked = np.flatnonzero(lift >= MIN_LIFT)
     picked = picked[np.argsort(-(bad * np.log(lift))[picked], kind="stable")][:MAX_FEATURES]
     if not len(picked):
         return OrdinalModel()
     kept = np.sort(names[picked])
-    at = np.searchsorted(kept, flat)
-    hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == flat)
-    row, col = owner[hit], at[hit]
-    amount = np.bincount(row, minlength=n)
+    found = [within(r, kept) for r in rows]
+    row, col = np.repeat(np.arange(n), [len(f) for f, _ in found]), np.concatenate([f for f, _ in found])
+    x = np.concatenate([v[hit] for v, (_, hit) in zip(values, found, strict=True)]).astype(float)
+    amount = np.bincount(row, weights=x, minlength=n)
     grade = np.zeros(n, int)
     some = amount[toxic == 1]
     grade[toxic == 1] = 1 + (some > np.quantile(some, 1 / 3)).astype(int) + (some > np.quantile(some, 2 / 3)).astype(int)
@@ -107,7 +126,7 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: fl
 
     def grad(p: np.ndarray) -> np.ndarray:
         w, theta = unpack(p)
-        s = np.bincount(row, weights=w[col], minlength=n)
+        s = np.bincount(row, weights=w[col] * x, minlength=n)
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         hi, lo = sig(edge[grade + 1] - s), sig(edge[grade] - s)
@@ -115,7 +134,7 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: fl
         p_row = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
         g_s = (d_hi - d_lo) / p_row / n  # of the negative log likelihood
-        g_w = np.bincount(col, weights=g_s[row], minlength=d) + l2 * w
+        g_w = np.bincount(col, weights=g_s[row] * x, minlength=d) + l2 * w
         g_theta = np.zeros(GRADES + 1)
         np.add.at(g_theta, grade + 1, -d_hi / p_row / n)
         np.add.at(g_theta, grade, d_lo / p_row / n)
@@ -140,11 +159,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_i
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [np.array(sorted(f for w in words_of(t) for f in features_of(w)), "<u4").tobytes() for t in batch["__text"]]
-            yield pd.DataFrame({"__id": batch["__id"], "__toxic": batch["__toxic"], "f": made})
+            made = [row_of(t) for t in batch["__text"]]
+            yield pd.DataFrame({"__id": batch["__id"], "__toxic": batch["__toxic"], "f": [f.tobytes() for f, _ in made], "v": [v.astype("<f2").tobytes() for _, v in made]})
 
-    sample = sorted(rows.mapInPandas(featurise, "__id long, __toxic int, f binary").collect(), key=lambda r: (r["__id"], bytes(r["f"])))[: 2 * max_rows]
-    return fit_rows([np.frombuffer(bytes(r["f"]), "<u4").astype(np.int64) for r in sample], np.array([r["__toxic"] for r in sample], int))
+    sample = sorted(rows.mapInPandas(featurise, "__id long, __toxic int, f binary, v binary").collect(), key=lambda r: (r["__id"], bytes(r["f"])))[: 2 * max_rows]
+    return fit_rows([np.frombuffer(r["f"], "<u4") for r in sample], [np.frombuffer(r["v"], "<f2") for r in sample], np.array([r["__toxic"] for r in sample], int))
 
 
 def scored(model: OrdinalModel, text: Column, cutoff: float = CUTOFF) -> Column:
@@ -164,7 +183,7 @@ def scored(model: OrdinalModel, text: Column, cutoff: float = CUTOFF) -> Column:
                 for w in words:
                     if w not in known:
                         known[w] = sum(weights.get(f, 0.0) for f in features_of(w))
-                score[k] = sum(sorted(x for w in words if (x := known[w])))
+                score[k] = sum(sorted(known[w] * x for w, x in words.items() if known[w]))
             above = own.above(score)
             grade = (above >= 0.5).sum(axis=1).astype(np.int32)
             yield pd.DataFrame({"grade": grade, "expected_severity": above.sum(axis=1), "p_toxic": above[:, 0], "toxic": above[:, 0] >= cutoff})
