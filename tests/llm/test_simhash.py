@@ -1,0 +1,119 @@
+import random
+from itertools import combinations
+
+import xxhash
+
+from textassay.llm import simhash
+from textassay.llm.graph import components
+from textassay.llm.queries import QUERIES
+
+from .helpers import clashing, documents
+
+
+def brute_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+class Sets:
+    def __init__(self):
+        self.up = {}
+
+    def find(self, x):
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+
+
+def brute_components(values):
+    s = Sets()
+    for v in values:
+        s.find(v)
+    for a, b in combinations(sorted(set(values)), 2):
+        if bin(a ^ b).count("1") <= 2:
+            s.join(a, b)
+    return {v: s.find(v) for v in values}
+
+
+def test_query_against_brute_force(spark, small):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op5_simhash"](spark, small).collect()}
+    prints = {i: brute_fingerprint(t) for i, t in docs.items()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in prints.items()}
+    root = brute_components(list(prints.values()))
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(root[prints[i]], i)
+    assert {i: r["component_id"] for i, r in got.items()} == {i: first[root[f]] for i, f in prints.items()}
+
+
+def test_words_and_bits():
+    texts = [None, "", " \n", "One", "one two", "A b C d", "a\x0bb\x0cc", "é É a\xa0b　c d", "a a a a a a", "\x1cx y z w"]
+    for t in texts:
+        assert simhash.majority(simhash.shingle_hashes(t or "")) == brute_fingerprint(t), t
+    long_ = " ".join(str(k % 700) for k in range(3000))
+    assert simhash.majority(simhash.shingle_hashes(long_)) == brute_fingerprint(long_)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def linked(spark, values):
+    df = spark.createDataFrame([(signed(v),) for v in set(values)], "fingerprint long")
+    roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(simhash.links(df)).collect()}
+    groups = {}
+    for v in set(values):
+        groups.setdefault(roots.get(v, v), set()).add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+def wanted(values):
+    groups = {}
+    for v, r in brute_components(values).items():
+        groups.setdefault(r, set()).add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_links_in_short_and_long_lists(spark):
+    """Crowds of near fingerprints fill lists beyond the cap; nothing is lost there."""
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for seed in values[:6]:
+        values += [seed ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(6)]
+    values += [seed ^ (1 << a) ^ (1 << b) ^ (1 << 63) for seed in values[:2] for a, b in combinations(range(0, 40, 3), 2)]
+    values += [0, 1, 3, 7, 15, 31, 1 << 63, (1 << 64) - 1]
+    assert linked(spark, values) == wanted(values)
+    cap, simhash.LIST_CAP = simhash.LIST_CAP, 2
+    try:
+        assert linked(spark, values) == wanted(values)
+    finally:
+        simhash.LIST_CAP = cap
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    rng = random.Random(5)
+    names = rng.sample(range(10**6), 400)
+    edges = list(zip(names[:200], names[1:200], strict=False)) + [(names[200], x) for x in names[201:399]] + [(names[399], names[399])]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    s = Sets()
+    for a, b in edges:
+        s.join(a, b)
+    assert got == {x: s.find(x) for x in names[:399]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_awkward_rows(spark):
+    df = clashing(documents(spark, [(5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, None), (9, ""), (None, "zz yy")]))
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
+    f = signed(brute_fingerprint("a b c d"))
+    z = signed(brute_fingerprint("zz yy"))
+    assert got == sorted([(5, f, 3), (5, f, 3), (3, f, 3), (None, 0, 9), (9, 0, 9), (None, z, None)], key=repr)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
