@@ -44,6 +44,8 @@ def test_background_files(spark, tmp_path):
     assert list(background.load(spark, f"{tmp_path}/bg", ["fr"]).meta) == ["fr"]
     assert list(background.load(spark, f"{tmp_path}/bg/en.bin").meta) == ["en"]
     assert held(background.read(spark, f"{tmp_path}/bg/fr.bin").counts, "cnt") == {1: 1}
+    one = background.cached(spark, f"{tmp_path}/bg/fr.bin")
+    assert background.cached(spark, f"{tmp_path}/bg/fr.bin") is one
     with pytest.raises(FileNotFoundError):
         background.load(spark, f"{tmp_path}/bg", ["xx"])
     background.write_parquet(langs, f"{tmp_path}/pq")

@@ -1,9 +1,13 @@
+import os
 import random
+from itertools import count
 
 import pytest
 
 from textassay import EvidenceModel
 from textassay.plans.queries import unlearn_gate
+from textassay.sources.contract import RULES, ContractError, check
+from textassay.sources.snapshot import FileSnapshot
 from textassay.sources.store import ConcurrentWriteError, CountStore, SnapshotCache
 
 COLUMNS = ("count_ham", "count_spam", "archive_ham", "archive_spam")
@@ -158,3 +162,67 @@ def test_unlearn_gate(spark):
 
     rows = spark.range(5).select("id", unlearn_gate(F.col("id"), 3).alias("o"))
     assert [r["o"] for r in rows.orderBy("id").collect()] == ["refused", "refused", "archive", "recent", "error"]
+
+
+@pytest.fixture
+def make(spark, tmp_path):
+    numbers = count()
+    return lambda kind=CountStore: kind(spark, f"file://{tmp_path}/made{next(numbers)}").install(10)
+
+
+def test_contract_holds(spark, make):
+    check(spark, make)
+
+
+class Unclamped(CountStore):
+    def apply(self, hashed, label, sign, texts=1, archive=False, batch=None):
+        return super().apply(hashed, label, sign, texts, archive) if sign > 0 else self.tally().generation
+
+
+class OneGeneration(CountStore):
+    def apply(self, hashed, label, sign, texts=1, archive=False, batch=None):
+        return super().apply(hashed, label, sign, texts)
+
+
+class Still(CountStore):
+    def version(self):
+        return 0
+
+
+class Forgetful(CountStore):
+    def rotate(self):
+        meta = self.meta()
+        self._commit(meta, self.counts(meta).where("false"), version=meta["version"] + 1, generation=meta["generation"] + 1)
+
+
+class Nameless(CountStore):
+    def identity(self):
+        return "store"
+
+
+@pytest.mark.parametrize(("kind", "rule"), [(Unclamped, "accumulate"), (OneGeneration, "generations apart"), (Still, "version"), (Forgetful, "rotate"), (Nameless, "identity")])
+def test_broken_stores_are_found(spark, make, kind, rule):
+    assert rule in RULES
+    with pytest.raises(ContractError):
+        check(spark, lambda: make(kind), [rule])
+
+
+def test_file_snapshot(spark, store, tmp_path):
+    path = f"{tmp_path}/snap/one"
+    snapshot = FileSnapshot(path)
+    store.apply(bag(spark, {1: 2}), "spam", 1)
+    assert snapshot.load(store).total_spam == 2 and oct(os.stat(path).st_mode & 0o777) == "0o600"
+    version, identity = store.version(), store.identity()
+    assert snapshot.read(spark, version, identity).total_spam == 2
+    assert snapshot.read(spark, version + 1, identity) is None and snapshot.read(spark, version, "other") is None
+    store.apply(bag(spark, {1: 2}), "spam", 1)
+    assert snapshot.load(store).total_spam == 4
+    os.chmod(path, 0o666)
+    assert snapshot.read(spark, store.version(), identity) is None
+    assert FileSnapshot(path, strict=False).read(spark, store.version(), identity).total_spam == 4
+    os.chmod(path, 0o600)
+    os.symlink(path, f"{path}-link")
+    assert FileSnapshot(f"{path}-link").read(spark, store.version(), identity) is None
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-2])
+    assert snapshot.read(spark, store.version(), identity) is None and snapshot.load(store).total_spam == 4

@@ -36,7 +36,8 @@ _TAG_TAIL = rf"(?=[{SPACE}/>])[^>]*+>"
 ANY_TAG = rf"{_TAG_HEAD}([A-Za-z][A-Za-z0-9]*+){_TAG_TAIL}"
 #: A tag of another name is consumed and put back, so what stands inside it is not read as a tag.
 KNOWN_TAG = rf"({_TAG_HEAD}(?!(?i:{'|'.join(HTML_ELEMENTS)}){_TAG_TAIL})[A-Za-z][A-Za-z0-9]*+{_TAG_TAIL})|{ANY_TAG.replace('(', '(?:', 1)}"
-_BEYOND = rf"[A-Za-z0-9-]{{{_LABEL + 2},}}+\.|\.[A-Za-z0-9-]{{{_LABEL + 2},}}+|(?:[A-Za-z0-9-]{{1,{_LABEL + 1}}}\.){{{_LABELS + 1},{_LABELS + 1}}}+"
+_RUN = "[A-Za-z0-9-]"
+_BEYOND = rf"(?<!{_RUN})(?:{_RUN}{{{_LABEL + 2},}}+\.|(?:{_RUN}{{1,{_LABEL + 1}}}+\.){{{_LABELS + 1}}})|\.{_RUN}{{{_LABEL + 2},}}+"
 
 
 
@@ -66,30 +67,34 @@ def _ngrams(word: Column, p: ExtractParams) -> Column:
     return F.flatten(F.transform(sizes, one))
 
 
-def _wants_ngrams(word: Column, p: ExtractParams) -> Column:
-    return {"none": F.lit(False), "all": F.lit(True), "unspaced": word.rlike(UNSPACED)}[p.char_ngrams]
+def _wants_ngrams(word: Column, p: ExtractParams, unspaced: Column) -> Column:
+    return {"none": F.lit(False), "all": F.lit(True), "unspaced": unspaced & word.rlike(UNSPACED)}[p.char_ngrams]
 
 
-def clause_features(clause: Column, p: ExtractParams) -> Column:
-    """Features of one clause in the order of its words."""
+def clause_features(clause: Column, p: ExtractParams, unspaced: Column | None = None) -> Column:
+    """Features of one clause in the order of its words. unspaced: whether the text has any character of such a script."""
+    has = F.lit(True) if unspaced is None else unspaced
     number = lambda w: w.rlike(r"^\p{N}+\z")
-    kept = lambda w: ~number(w) & F.char_length(w).between(p.min_word, p.max_word)
 
-    def of_words(words: Column) -> Column:
+    def of_words(parts: Column) -> Column:
+        words, lows, kept = parts["words"], parts["lows"], parts["kept"]
+
         def one(w: Column, i: Column) -> Column:
-            low = F.lower(w)
-            before = F.when(i > 0, F.get(words, i - 1))
-            capitals = F.when((F.char_length(w) >= 3) & (w == F.upper(w)) & (w != low), F.array(F.lit("caps:"))).otherwise(_empty())
-            own = F.when(kept(w), F.array(F.concat(F.lit("w:"), low))).otherwise(_empty())
-            pair = F.when(F.coalesce(kept(w) & kept(before), F.lit(False)), F.array(F.concat(F.lit("w2:"), F.lower(before), F.lit("_"), low))).otherwise(_empty()) if p.word_bigrams else _empty()
-            grams = _empty() if p.char_ngrams == "none" else F.when(_wants_ngrams(low, p), _ngrams(low, p)).otherwise(_empty())
+            low, own_kept = F.get(lows, i), F.get(kept, i)
+            capitals = F.when((w != low) & (F.char_length(w) >= 3) & (w == F.upper(w)), F.array(F.lit("caps:"))).otherwise(_empty())
+            own = F.when(own_kept, F.array(F.concat(F.lit("w:"), low))).otherwise(_empty())
+            pair = F.concat(F.lit("w2:"), F.get(lows, i - 1), F.lit("_"), low)
+            pairs = F.when(own_kept & (i > 0) & F.coalesce(F.get(kept, i - 1), F.lit(False)), F.array(pair)).otherwise(_empty()) if p.word_bigrams else _empty()
+            grams = _empty() if p.char_ngrams == "none" else F.when(_wants_ngrams(low, p, has), _ngrams(low, p)).otherwise(_empty())
             count = F.array(F.concat(F.lit("num:"), F.least(F.char_length(w), F.lit(12)).cast("string")))
-            return F.when(number(w), count).otherwise(F.concat(capitals, own, pair, grams))
+            return F.when(~own_kept & number(w), count).otherwise(F.concat(capitals, own, pairs, grams))
 
         return F.flatten(F.transform(words, one))
 
-    # the words are bound once, as an array of one array, so they are not matched again for each use
-    return F.flatten(F.transform(F.array(F.regexp_extract_all(clause, F.lit(LETTERS), 0)), of_words))
+    # each array is bound once, as an array of one struct, so it is not made again for each use
+    kept = lambda w: F.char_length(w).between(p.min_word, p.max_word) & ~number(w)
+    bound = F.transform(F.array(F.regexp_extract_all(clause, F.lit(LETTERS), 0)), lambda ws: F.struct(ws.alias("words"), F.transform(ws, lambda w: F.lower(w)).alias("lows"), F.transform(ws, kept).alias("kept")))
+    return F.flatten(F.transform(bound, of_words))
 
 
 def feature_arrays(texts: DataFrame, text: str = "text", params: ExtractParams | None = None) -> DataFrame:
@@ -115,7 +120,9 @@ def feature_arrays(texts: DataFrame, text: str = "text", params: ExtractParams |
     df = df.withColumn("__signs", F.transform(F.regexp_extract_all("__t", F.lit(f"[{CURRENCY}]"), 0), lambda c: F.concat(F.lit("sym:"), c)))
     df = df.withColumn("__t", nfkc(F.col("__t")))
     clauses = F.filter(F.split("__t", CLAUSE_MARKS), lambda c: c != "")
-    words = F.flatten(F.transform(clauses, lambda c: clause_features(c, p)))
+    # bound as a lambda's variable: the optimizer would copy a column's expression to where each word reads it
+    unspaced = (F.octet_length("__t") > F.char_length("__t")) & F.col("__t").rlike(UNSPACED)
+    words = F.flatten(F.transform(F.array(unspaced), lambda u: F.flatten(F.transform(clauses, lambda c: clause_features(c, p, u)))))
     links = F.flatten(F.transform("__links", link_features))
     mails = F.flatten(F.transform("__mails", lambda m: F.array(F.lit("mail:"), F.concat(F.lit("mail:"), ascii_lower(m)))))
     named = F.transform("__tags", lambda n: F.concat(F.lit("tag:"), n))

@@ -22,6 +22,18 @@ def load(spark: SparkSession, path: str, languages: list[str] | None = None, alp
     return LanguageSet(rows.where("slot >= 0").select("lang", "slot", "cnt"), meta, alpha)
 
 
+_held: dict[str, tuple[float, CountTable]] = {}
+
+
+def cached(spark: SparkSession, path: str) -> CountTable:
+    """As ``read``, and kept until the file changes."""
+    changed, key = os.stat(path).st_mtime, os.path.realpath(path)
+    if key not in _held or _held[key][0] != changed or _held[key][1].counts.sparkSession is not spark:
+        _held[key] = (changed, read(spark, path))
+        _held[key][1].counts.persist()
+    return _held[key][1]
+
+
 def read(spark: SparkSession, path: str) -> CountTable:
     with open(path, "rb") as f:
         return codec.table_of(spark, codec.decode_background(f.read()))
