@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from textassay.llm.queries import QUERIES
-from textassay.llm.toxicity import OrdinalModel, fit, fit_rows, grade_documents, row_of
+from textassay.llm.toxicity import OrdinalModel, fit, fit_rows, grade_documents, pick, row_of, within
 
 from .helpers import clashing, documents, rows
 
@@ -16,7 +16,11 @@ def test_fit_recovers_an_order():
         texts.append(" ".join(words + ["vile"] * (1 + k % 3) * bad + ["nasty"] * (k % 5) * bad))
         toxic.append(int(bad))
     made = [row_of(t) for t in texts]
-    model = fit_rows([f for f, _ in made], [v for _, v in made], np.array(toxic))
+    toxic = np.array(toxic)
+    names = np.unique(np.concatenate([f for f, _ in made])).astype(np.int64)
+    bad, good = (np.array([sum(n in f for f, _ in some) for n in names]) for some in ([m for m, t in zip(made, toxic, strict=True) if t], [m for m, t in zip(made, toxic, strict=True) if not t]))
+    kept = pick(names, bad, good, int(toxic.sum()), int((1 - toxic).sum()))
+    model = fit_rows(kept, [within(f, v, kept) for f, v in made], toxic)
     assert list(model.theta) == sorted(model.theta) and len(model.theta) == 3
     from textassay.llm.toxicity import features_of, words_of
 
@@ -29,7 +33,7 @@ def test_fit_recovers_an_order():
 
 def test_one_class_tells_nothing_apart():
     for toxic in ([0, 0], [1, 1], []):
-        model = fit_rows([np.array([1], "<u4")] * len(toxic), [np.array([1.0], "<f4")] * len(toxic), np.array(toxic))
+        model = fit_rows(np.array([1]), [(np.array([0]), np.array([1.0]))] * len(toxic), np.array(toxic, int))
         assert not model.weights and model.above(np.zeros(1))[0, 0] < 0.5
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, cut, text_of
 
 #: Bound on the labelled rows that are fitted.
 MAX_ROWS = 8_000
@@ -81,45 +81,38 @@ def _adam(grad, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def fit_rows(rows: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: float = 2e-5) -> OrdinalModel:
-    """Fit on sorted feature lists with their amounts, and 0/1 labels.
+def pick(names: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """The features that may carry weight, sorted, from the toxic and clean rows that each is in."""
+    lift = (bad / n_bad) / ((good + 0.5) / n_good)
+    picked = np.flatnonzero((bad >= MIN_ROWS) & (lift >= MIN_LIFT))
+    picked = picked[np.lexsort((names[picked], -(bad * np.log(np.maximum(lift, 1)))[picked]))][:MAX_FEATURES]
+    return np.sort(names[picked])
 
-    Without toxic rows, or without clean ones, nothing can be told apart: the model
+
+def within(row: np.ndarray, values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the known features of a row's features, and their amounts."""
+    if not len(known) or not len(row):
+        return np.empty(0, np.int64), np.empty(0)
+    at = np.minimum(np.searchsorted(known, row), len(known) - 1)
+    hit = known[at] == row
+    return at[hit], values[hit].astype(float)
+
+
+def fit_rows(kept: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 400, l2: float = 2e-5) -> OrdinalModel:
+    """Fit weights of the features ``kept`` on rows of (places among them, amounts) and 0/1 labels.
+
+    Without features, toxic rows or clean ones nothing can be told apart: the model
     then has no weights and calls no text toxic.
     """
-    n, n_bad = len(rows), int(toxic.sum())
-    if not n_bad or n_bad == n:
-        return OrdinalModel()
-    first = lambda r: r[np.flatnonzero(np.diff(r, prepend=-1))] if len(r) else r
-    names, bad = np.unique(np.concatenate([first(r.astype(np.int64)) for r, t in zip(rows, toxic, strict=True) if t]), return_counts=True)
-    names, bad = names[bad >= MIN_ROWS], bad[bad >= MIN_ROWS]
-    if not len(names):
+    n, n_bad, d = len(rows), int(toxic.sum()), len(kept)
+    if not n_bad or n_bad == n or not d:
         return OrdinalModel()
-
-    def within(row: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among the known features, and which of the row's are known."""
-        at = np.minimum(np.searchsorted(known, row), len(known) - 1)
-        hit = known[at] == row
-        return at[hit], hit
-
-    good = np.zeros(len(names), np.int64)
-    for r, t in zip(rows, toxic, strict=True):
-        if not t:
-            good[within(r, names)[0]] += 1
-    lift = (bad / n_bad) / ((good + 0.5) / (n - n_bad))
-    picked = np.flatnonzero(lift >= MIN_LIFT)
-    picked = picked[np.argsort(-(bad * np.log(lift))[picked], kind="stable")][:MAX_FEATURES]
-    if not len(picked):
-        return OrdinalModel()
-    kept = np.sort(names[picked])
-    found = [within(r, kept) for r in rows]
-    row, col = np.repeat(np.arange(n), [len(f) for f, _ in found]), np.concatenate([f for f, _ in found])
-    x = np.concatenate([v[hit] for v, (_, hit) in zip(values, found, strict=True)]).astype(float)
+    row, col = np.repeat(np.arange(n), [len(at) for at, _ in rows]), np.concatenate([at for at, _ in rows])
+    x = np.concatenate([v for _, v in rows])
     amount = np.bincount(row, weights=x, minlength=n)
     grade = np.zeros(n, int)
     some = amount[toxic == 1]
     grade[toxic == 1] = 1 + (some > np.quantile(some, 1 / 3)).astype(int) + (some > np.quantile(some, 2 / 3)).astype(int)
-    d = len(kept)
 
     def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(np.clip(p[d + 1 :], -8, 8))]))
@@ -151,19 +144,41 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_i
     """Fit on at most ``max_rows`` labelled documents, chosen by the hash of their id.
 
     Rows without an id or label are left out; a label counts as toxic if it is 1.
+    Features are counted and picked where the texts are, so the driver gets the counts
+    of ``MAX_FEATURES`` features at most, and of each row what it has of these.
     """
     bounded_batches(documents.sparkSession)
     picked = labels.select(F.col(doc_id).alias("__id"), (F.col(toxic) == 1).cast("int").alias("__toxic")).where("__id IS NOT NULL AND __toxic IS NOT NULL")
     picked = picked.groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = documents.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text")).join(F.broadcast(picked), "__id")  # max_rows ids at most
+    rows = cut(rows)
+    n = {r["__toxic"]: r["n"] for r in rows.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return OrdinalModel()
 
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = {0: [], 1: []}
+            for t, label in zip(batch["__text"], batch["__toxic"], strict=True):
+                seen[label].append(np.unique(row_of(t)[0]))
+            for label, found in seen.items():
+                names, rows_ = np.unique(np.concatenate(found or [np.empty(0, "<u4")]), return_counts=True)
+                yield pd.DataFrame({"f": names.astype(np.int64), "bad": rows_ * label, "good": rows_ * (1 - label)})
+
+    lift = (F.col("bad") / n[1]) / ((F.col("good") + 0.5) / n[0])
+    counted = rows.mapInPandas(count, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    best = counted.where((F.col("bad") >= MIN_ROWS) & (lift >= MIN_LIFT)).orderBy((F.col("bad") * F.ln(lift)).desc(), "f").limit(MAX_FEATURES).collect()
+    kept = pick(*(np.array([r[c] for r in best], np.int64) for c in ("f", "bad", "good")), n[1], n[0])
+
+    def restrict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [row_of(t) for t in batch["__text"]]
-            yield pd.DataFrame({"__id": batch["__id"], "__toxic": batch["__toxic"], "f": [f.tobytes() for f, _ in made], "v": [v.astype("<f2").tobytes() for _, v in made]})
+            made = [within(*row_of(t), kept) for t in batch["__text"]]
+            yield pd.DataFrame({"__id": batch["__id"], "__toxic": batch["__toxic"], "at": [a.astype("<i4").tobytes() for a, _ in made], "x": [v.astype("<f8").tobytes() for _, v in made]})
 
-    sample = sorted(rows.mapInPandas(featurise, "__id long, __toxic int, f binary, v binary").collect(), key=lambda r: (r["__id"], bytes(r["f"])))[: 2 * max_rows]
-    return fit_rows([np.frombuffer(r["f"], "<u4") for r in sample], [np.frombuffer(r["v"], "<f2") for r in sample], np.array([r["__toxic"] for r in sample], int))
+    sample = rows.mapInPandas(restrict, "__id long, __toxic int, at binary, x binary").collect()
+    sample.sort(key=lambda r: (r["__id"], bytes(r["at"])))
+    made = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f8")) for r in sample]
+    return fit_rows(kept, made, np.array([r["__toxic"] for r in sample], int))
 
 
 def scored(model: OrdinalModel, text: Column, cutoff: float = CUTOFF) -> Column:
