@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     source. In the order of limit by weight the sources at their limit come first, so
     the level of the others follows from prefix sums.
     """
-    named = W.orderBy(F.asc_nulls_last("source"))
+    named = W.orderBy(F.asc_nulls_last("source"))  # a row a source
     s = sizes.withColumn("nth", F.row_number().over(named))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
     s = s.withColumn("most", (F.col("source_size") * epochs).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
@@ -63,19 +63,21 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", key: s
     """
     body = text_of(text)
     rows = documents.withColumn("__size", word_count(body)).withColumn("__key", F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body))))
-    rows = rows.withColumn("__source", F.col(source).cast("string")).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 3), 16, 10).cast("int") * RANGES / 4096).cast("int"))
+    named = F.concat(F.lit("="), F.col(source).cast("string"))  # null becomes "", so that joins need no null-safe key
+    rows = rows.withColumn("__source", F.coalesce(named, F.lit(""))).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 3), 16, 10).cast("int") * RANGES / 4096).cast("int"))
     per_range = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("range_size"))
     earlier = W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     start = per_range.withColumn("__start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).select("__source", "__range", "__start")
-    plan = targets(per_range.groupBy(F.col("__source").alias("source")).agg(F.sum("range_size").alias("source_size")), weights, epochs)
-    plan = plan.select(F.col("source").alias("p_source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rounds").alias("__rounds"), F.col("rest").alias("__rest"))
-    start = start.join(plan, F.col("__source").eqNullSafe(F.col("p_source"))).select(F.col("__source").alias("s_source"), F.col("__range").alias("s_range"), "__start", "__source_size", "__target", "__rounds", "__rest")
+    totals = per_range.groupBy("__source").agg(F.sum("range_size").alias("source_size"))
+    plan = targets(totals.select(F.when(F.col("__source") != "", F.col("__source")).alias("source"), "source_size"), weights, epochs)
+    plan = plan.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rounds").alias("__rounds"), F.col("rest").alias("__rest"))
+    start = start.join(plan, "__source").select("__source", "__range", "__start", "__source_size", "__target", "__rounds", "__rest")
     sorted_ = W.partitionBy("__source", "__range").orderBy("__key", "__size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(sorted_), F.lit(0)))
-    rows = rows.join(start, F.col("__source").eqNullSafe(F.col("s_source")) & (F.col("__range") == F.col("s_range")))
+    rows = rows.join(start, ["__source", "__range"])
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__start") - F.col("__within")))
     rows = rows.withColumn("__taken", F.col("__rounds") * F.col("__size") + extra)
-    return rows.drop("__key", "__source", "__range", "__within", "s_source", "s_range", "__start", "__rest")
+    return rows.drop("__key", "__source", "__range", "__within", "__start", "__rest")
 
 
 def copies(documents: DataFrame, text: str = "text", **options) -> DataFrame:
