@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import feature_hash
+from ..functions.shared import spread
 from ..functions.ship import ship
 from ..functions.text import CLAUSE_MARKS, CURRENCY, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, entities_decoded, nfkc, visible
 from ..params import ExtractParams
@@ -105,7 +106,7 @@ def feature_arrays(texts: DataFrame, text: str = "text", params: ExtractParams |
     p = params or ExtractParams()
     ship(texts.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = texts.withColumn("__t", visible(entities_decoded(t)))
+    df = spread(texts).withColumn("__t", visible(entities_decoded(t)))
     df = df.withColumn("__links", F.regexp_extract_all("__t", F.lit(LINK), 0))
     df = df.withColumn("__pcre", F.when(F.col("__t").rlike(_BEYOND) | ~F.is_valid_utf8(t), F.array(F.lit("pcre:"))).otherwise(_empty()))
     df = df.withColumn("__t", F.when(F.size("__links") > 0, F.regexp_replace("__t", LINK, " ")).otherwise(F.col("__t")))
@@ -132,8 +133,17 @@ def feature_arrays(texts: DataFrame, text: str = "text", params: ExtractParams |
 
 def occurrences(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
     """doc_id, ord, feature: a row for each time a feature is met. No shuffle."""
-    arrays = feature_arrays(texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", params)
-    return arrays.select("doc_id", F.posexplode_outer("features").alias("ord", "feature")).where("feature IS NOT NULL")
+    return met(texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", params=params)
+
+
+def met(texts: DataFrame, *keep: str, text: str = "text", params: ExtractParams | None = None) -> DataFrame:
+    """The columns ``keep``, ord and feature: a row for each time a feature is met.
+
+    The outer form of explode is used since the optimizer puts a filter on the array's
+    size before the other one, and would extract every text twice for it.
+    """
+    arrays = feature_arrays(texts.select(*keep, text), text, params)
+    return arrays.select(*keep, F.posexplode_outer("features").alias("ord", "feature")).where("feature IS NOT NULL")
 
 
 def bags(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:

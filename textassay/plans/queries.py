@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import feature_hash, slot
-from ..functions.shared import cut, shared_folder
+from ..functions.shared import cut, shared_folder, spread
 from ..operators import features as fx
 from ..operators.language import LanguageSet
 from ..operators.layers import CountTable, Layer, label_of, layer_counts
@@ -43,18 +43,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, label, quality of labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", label_of(F.col("toxic")).alias("label"), "quality")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).join(labels, "doc_id")
 
 
 def hashed(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
     return fx.hashed_bags(texts, doc_id, text, params, MODE)
 
 
+def counted(texts: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, h and cnt: how often features of a hash are met."""
+    return fx.met(texts, *keep).groupBy(*keep, feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
+
+
 def labelled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, h, cnt, label."""
-    rows = labelled(spark, sf_dir)
-    arrays = fx.feature_arrays(rows)
-    return arrays.select("doc_id", "label", F.explode("features").alias("feature")).groupBy("doc_id", "label", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
+    """label, h, cnt."""
+    return counted(labelled(spark, sf_dir), "label")
 
 
 def site_layer(spark: SparkSession, sf_dir: str, bits: int = BITS) -> Layer:
@@ -66,14 +69,11 @@ def site_layer(spark: SparkSession, sf_dir: str, bits: int = BITS) -> Layer:
 def pretrained_layer(spark: SparkSession, sf_dir: str) -> Layer:
     """Conversations as a layer from elsewhere: what users say is spam, all else ham."""
     rows = table(spark, sf_dir, "conversations").withColumn("label", F.when(F.col("role") == "user", F.lit("spam")).otherwise(F.lit("ham")))
-    met = fx.feature_arrays(rows.select("label", "text")).select("label", F.explode("features").alias("feature"))
-    counted = met.groupBy("label", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
-    return Layer(cut(layer_counts(counted, BITS)), BITS).counted()
+    return Layer(cut(layer_counts(counted(rows, "label"), BITS)), BITS).counted()
 
 
 def language_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = fx.feature_arrays(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", F.explode("features").alias("feature"))
-    return met.groupBy("lang", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
+    return counted(table(spark, sf_dir, "documents"), "lang")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> LanguageSet:
