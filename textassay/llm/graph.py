@@ -34,5 +34,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     out = hooks[0].select("node", F.col("up").alias("root"))
     for hook in hooks[1:]:
         nxt = hook.select(F.col("node").alias("root"), F.col("up").alias("next"))
-        out = cut(out.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-    return out
+        out = out.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut(out)
