@@ -2,46 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, shared_folder
+from ..functions.ship import ship
+
+__all__ = ["bounded_batches", "cut", "literal_rows", "shared_folder", "ship", "table", "text_of"]
+
 #: Rows that go to a Python worker at once: whole texts can be long.
 BATCH_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting is left alone."""
+    """Ready a session for operators in Python: send the modules along, keep Arrow batches of whole texts small.
+
+    A smaller batch size that is set already is left alone.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     current = int(spark.conf.get(key, "0") or 0)
     if current <= 0 or current > rows:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    ``spark.checkpoint.dir`` is taken from the session; only where it is unset,
-    as in tests on one machine, a temporary folder is named instead.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = getattr(spark.sparkContext, "_textassay_folder", None) or tempfile.mkdtemp(prefix="textassay-")
-        spark.sparkContext._textassay_folder = folder
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage (reliable checkpoint)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def text_of(name: str = "text") -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

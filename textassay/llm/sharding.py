@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, text_of
+from .common import cut, ship, text_of
 
 # Multipliers and increments of the rounds, and the prime they work under.
 MULTIPLIERS = (1103515245, 1664525 * 647, 22695477 * 89, 69069 * 15401)
@@ -84,6 +84,7 @@ def shards(documents: DataFrame, n_shards: int = 8, key: str = "doc_id", text: s
     the digest. Repeated rows get numbers of their own; which copy gets which does not
     show. An empty table gives none. Other columns are left out.
     """
+    ship(documents.sparkSession)
     body = text_of(text)
     rows = documents.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("__size"), F.crc32(F.encode(body, "UTF-8")).alias("__crc32"))
     rows = rows.withColumn("__digest", digest("key", F.col("__crc32"), F.col("__size"))).withColumn("__range", F.substring("__digest", 1, PREFIX))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, ship
 
 SEGMENTS = 4
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
@@ -153,6 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     counts once; rows of one id with different vectors all count, and as queries share
     one result. Ties go to the smaller vec_id. Fewer than k candidates give all.
     """
+    ship(vectors.sparkSession)
     rows, asked = quantised(vectors, vec_id, embedding), quantised(queries, vec_id, embedding)
     n_rows, n_asked = rows.count(), asked.count()
     n_r, n_q = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
