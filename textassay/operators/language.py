@@ -55,27 +55,31 @@ class LanguageSet:
         return CountTable(self.tables.where(F.col("lang") == lang).select("slot", "cnt"), bits, total)
 
     def likelihoods(self, hashed: DataFrame) -> DataFrame:
-        """doc_id, lang, place, score: the log likelihood of each text with words under each language.
+        """doc_id, lang, place, score: the log likelihood of each text with features under each language.
 
-        A slot that a table does not hold adds the same for all words, so only the hits
-        are joined; what misses would have added follows from the number of occurrences.
+        ``hashed`` has (doc_id, h, cnt) rows, added up or as they are met. A slot that a
+        table does not hold adds the same for all features, so only the hits are joined;
+        what misses would have added follows from the number of occurrences, which is
+        summed along with the hits. One shuffled row a text and language.
         """
-        spark = hashed.sparkSession
-        meta = self._meta(spark)
-        occ = hashed.groupBy("doc_id").agg(F.sum("cnt").alias("occ"))
-        hits = None
-        for bits in sorted({b for b, _ in self.meta.values()}):
-            langs = [k for k, (b, _) in self.meta.items() if b == bits]
-            table = small(self.tables.where(F.col("lang").isin(langs)).select("lang", F.col("slot").alias("__slot"), F.col("cnt").alias("__cnt")), self.occupied())
-            one = hashed.join(table, slot(F.col("h"), bits) == F.col("__slot")).select("doc_id", "lang", "cnt", "__cnt")
-            hits = one if hits is None else hits.unionByName(one)
+        meta = self._meta(hashed.sparkSession)
         base = F.ln(smoothed(F.lit(0), F.col("total"), F.col("size"), self.alpha))
-        gain = F.ln(smoothed(F.col("__cnt"), F.col("total"), F.col("size"), self.alpha)) - base
-        won = hits.join(meta, "lang").where("total > 0").groupBy("doc_id", "lang").agg(F.sum(F.col("cnt") * gain).alias("gain"))
+        gain = F.ln(smoothed(F.col("cnt"), F.col("total"), F.col("size"), self.alpha)) - base
+        gains = self.tables.join(meta, "lang").where("total > 0").select("lang", "bits", "slot", gain.alias("gain"))
+        rows, found = hashed, []
+        for bits in sorted({b for b, _ in self.meta.values()}):
+            per_slot = gains.where(F.col("bits") == bits).groupBy(F.col("slot").alias("__slot")).agg(F.collect_list(F.struct("lang", "gain")).alias(f"__hits{bits}"))
+            rows = rows.join(small(per_slot, self.occupied()), slot(F.col("h"), bits) == F.col("__slot"), "left").drop("__slot")
+            found.append(F.coalesce(f"__hits{bits}", F.array().cast("array<struct<lang:string,gain:double>>")))
+        own = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.col("cnt").cast("double").alias("x")))
+        hits = F.transform(F.concat(*found), lambda g: F.struct(g["lang"].alias("lang"), (F.col("cnt") * g["gain"]).alias("x")))
+        sums = rows.select("doc_id", F.inline(F.concat(own, hits))).groupBy("doc_id", "lang").agg(F.sum("x").alias("x"))
+        won = F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "x"))))
+        texts = sums.groupBy("doc_id").agg(F.max(F.when(F.col("lang").isNull(), F.col("x"))).alias("occ"), won.alias("won"))
         langs = [(lang, n, math.log(((self.alpha * t / (1 << b)) / (t * (1 + self.alpha))) if t > 0 else 1 / (1 << b))) for n, (lang, (b, t)) in enumerate(self.meta.items())]
         every = F.array(*[F.struct(F.lit(k).alias("lang"), F.lit(n).alias("place"), F.lit(x).alias("base")) for k, n, x in langs])
-        tail = occ.select("doc_id", "occ", F.inline(every))
-        return tail.join(won, ["doc_id", "lang"], "left").select("doc_id", "lang", "place", (F.col("occ") * F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+        tail = texts.select("doc_id", "occ", "won", F.inline(every))
+        return tail.select("doc_id", "lang", "place", (F.col("occ") * F.col("base") + F.coalesce(F.try_element_at("won", F.col("lang")), F.lit(0.0))).alias("score"))
 
     def detect(self, hashed: DataFrame, texts: DataFrame) -> DataFrame:
         """doc_id, language for every row of ``texts``: the first of the most likely; the first of all for a text without features."""

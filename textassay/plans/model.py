@@ -39,9 +39,14 @@ class EvidenceModel:
     def hashed(self, texts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         return hashed_bags(texts, doc_id, text, self.extract, self.hash_mode)
 
-    def _rated(self, bag: DataFrame, texts: DataFrame, hashed: DataFrame | None = None) -> DataFrame:
+    def _met(self, texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """doc_id, h, cnt (1): hashed features as they are met, without a shuffle."""
+        met = occurrences(texts, doc_id, text, self.extract)
+        return met.select("doc_id", feature_hash(F.col("feature"), self.hash_mode).alias("h"), F.lit(1).cast("long").alias("cnt"))
+
+    def _rated(self, bag: DataFrame, texts: DataFrame) -> DataFrame:
         if isinstance(self.background, LanguageSet):
-            spoken = self.background.detect(hashed if hashed is not None else bag.groupBy("doc_id", "h").agg(F.sum("cnt").alias("cnt")), texts)
+            spoken = self.background.detect(bag.select("doc_id", "h", "cnt"), texts)
             bag = bag.join(spoken, "doc_id")
             return ratios(bag, self.site, self.pretrained, self.params, self.background.lookup(self.params.alpha))
         return ratios(bag, self.site, self.pretrained, self.params, self.background)
@@ -49,17 +54,12 @@ class EvidenceModel:
     def classify(self, texts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, log_odds, occurrences, mean_log_odds, evidence, probability: a row per id, empty texts too.
 
-        With plain counts and one background the sum runs over the features as they are
-        met, so only one row a text is shuffled; damped counts and languages need the
-        count of each hash first.
+        With plain counts the sum runs over the features as they are met, so only one row
+        a text is shuffled; damped counts need the count of each hash first.
         """
         ids = texts.select(F.col(doc_id).alias("doc_id"))
-        if not self.params.log_counts and not isinstance(self.background, LanguageSet):
-            met = occurrences(texts, doc_id, text, self.extract)
-            bag = met.select("doc_id", feature_hash(F.col("feature"), self.hash_mode).alias("h"), F.lit(1).cast("long").alias("cnt"))
-        else:
-            bag = self.hashed(texts, doc_id, text)
-        sums = score_sums(self._rated(bag, ids, bag), self.params.log_counts)
+        bag = self.hashed(texts, doc_id, text) if self.params.log_counts else self._met(texts, doc_id, text)
+        sums = score_sums(self._rated(bag, ids), self.params.log_counts)
         out = ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("log_odds", F.lit(0.0)).alias("log_odds"), F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"))
         return with_score_columns(out)
 
@@ -73,7 +73,7 @@ class EvidenceModel:
         ids = texts.select(F.col(doc_id).alias("doc_id"))
         if not isinstance(self.background, LanguageSet):
             return ids.withColumn("language", F.lit(None).cast("string"))
-        return self.background.detect(self.hashed(texts, doc_id, text), ids)
+        return self.background.detect(self._met(texts, doc_id, text), ids)
 
     def generation(self) -> int:
         """Rotations so far; 0 without a store."""

@@ -46,8 +46,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).join(labels, "doc_id")
 
 
-def hashed(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
-    return fx.hashed_bags(texts, doc_id, text, params, MODE)
+def hashed(texts: DataFrame) -> DataFrame:
+    """doc_id, h, cnt (1), as features are met."""
+    return fx.met(texts, "doc_id").select("doc_id", feature_hash(F.col("feature"), MODE).alias("h"), F.lit(1).cast("long").alias("cnt"))
 
 
 def counted(texts: DataFrame, *keep: str) -> DataFrame:
