@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import slot
 from .layers import CountTable
-from .scoring import small, smoothed
+from .scoring import BROADCAST_ROWS, small, smoothed
+
+#: Entries of all languages together up to which their tables are broadcast (about 100 MB).
+BROADCAST_ENTRIES = 4 * BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,9 @@ class LanguageSet:
     def occupied(self) -> int:
         return sum(min(1 << bits, total) for bits, total in self.meta.values())
 
+    def _small(self, df: DataFrame) -> DataFrame:
+        return small(df, 0 if self.occupied() <= BROADCAST_ENTRIES else BROADCAST_ROWS + 1)
+
     def _meta(self, spark: SparkSession) -> DataFrame:
         rows = [(lang, n, bits, float(1 << bits), float(total)) for n, (lang, (bits, total)) in enumerate(self.meta.items())]
         return F.broadcast(spark.createDataFrame(rows, "lang string, place int, bits int, size double, total double"))  # a row a language
@@ -69,7 +75,7 @@ class LanguageSet:
         rows, found = hashed, []
         for bits in sorted({b for b, _ in self.meta.values()}):
             per_slot = gains.where(F.col("bits") == bits).groupBy(F.col("slot").alias("__slot")).agg(F.collect_list(F.struct("lang", "gain")).alias(f"__hits{bits}"))
-            rows = rows.join(small(per_slot, self.occupied()), slot(F.col("h"), bits) == F.col("__slot"), "left").drop("__slot")
+            rows = rows.join(self._small(per_slot), slot(F.col("h"), bits) == F.col("__slot"), "left").drop("__slot")
             found.append(F.coalesce(f"__hits{bits}", F.array().cast("array<struct<lang:string,gain:double>>")))
         own = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.col("cnt").cast("double").alias("x")))
         hits = F.transform(F.concat(*found), lambda g: F.struct(g["lang"].alias("lang"), (F.col("cnt") * g["gain"]).alias("x")))
@@ -92,7 +98,7 @@ class LanguageSet:
 
         def run(df: DataFrame) -> DataFrame:
             meta = self._meta(df.sparkSession).withColumnRenamed("lang", "language")
-            table = small(self.tables.select(F.col("lang").alias("language"), F.col("slot").alias("__slot"), F.col("cnt").alias("__bg")), self.occupied())
+            table = self._small(self.tables.select(F.col("lang").alias("language"), F.col("slot").alias("__slot"), F.col("cnt").alias("__bg")))
             out = df.join(meta, "language").withColumn("__slot", F.col("h").bitwiseAND(F.col("size").cast("long") - 1)).join(table, ["language", "__slot"], "left")
             return out.withColumn("background", smoothed(F.coalesce("__bg", F.lit(0)), F.col("total"), F.col("size"), alpha)).drop("__slot", "__bg", "place", "bits", "size", "total")
 

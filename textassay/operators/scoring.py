@@ -12,8 +12,9 @@ from ..functions.hashing import slot
 from ..params import ModelParams
 from .layers import CountTable, Layer
 
-#: Rows of a lookup table up to which it is broadcast (about 32 MB); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a lookup table up to which it is broadcast (about 64 MB); larger ones are shuffled.
+#: Tables of the usual 20 bits never exceed it.
+BROADCAST_ROWS = 1 << 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -21,6 +22,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def most_rows(layer: Layer | None) -> int:
+    """A bound on a layer's rows: it has no more than slots, and no more than counts."""
+    return 0 if layer is None else min(1 << layer.bits, layer.total())
+
+
 def smoothed(cnt: Column, total: Column | float, size: Column | float, alpha: float) -> Column:
     """(c + alpha T / size) / (T (1 + alpha)); 1 / size where the table is empty."""
     total, size = (x if isinstance(x, Column) else F.lit(float(x)) for x in (total, size))
@@ -63,8 +69,8 @@ def ratios(bag: DataFrame, site: Layer | None, pretrained: Layer | None, params:
     """
     n = occupied or {}
     lam = params.pretrained_weight
-    df = with_counts(bag, site, "site", n.get("site", 1 << 30 if site is None else site.total()))
-    df = with_counts(df, pretrained, "pre", n.get("pre", 0 if pretrained is None else pretrained.total()))
+    df = with_counts(bag, site, "site", n.get("site", most_rows(site)))
+    df = with_counts(df, pretrained, "pre", n.get("pre", most_rows(pretrained)))
     totals = {c: (getattr(site, f"total_{c}") if site else 0, getattr(pretrained, f"total_{c}") if pretrained else 0) for c in ("ham", "spam")}
     f = {c: frequency(F.col(f"site_{c}"), F.col(f"pre_{c}"), *totals[c], lam) for c in ("ham", "spam")}
     if background is None:
@@ -73,7 +79,7 @@ def ratios(bag: DataFrame, site: Layer | None, pretrained: Layer | None, params:
         total = sum(s + lam * p for s, p in totals.values())
         p = smoothed(seen, float(total), float(1 << bits), params.alpha)
     elif isinstance(background, CountTable):
-        table = small(background.counts.select(F.col("slot").alias("__slot"), F.col("cnt").alias("__bg")), n.get("background", background.total))
+        table = small(background.counts.select(F.col("slot").alias("__slot"), F.col("cnt").alias("__bg")), n.get("background", min(background.size, background.total)))
         df = df.join(table, slot(F.col("h"), background.bits) == F.col("__slot"), "left").drop("__slot")
         p = smoothed(F.coalesce("__bg", F.lit(0)), float(background.total), float(background.size), params.alpha)
     else:
