@@ -69,3 +69,27 @@ def test_a_large_group_of_near_copies_is_one(spark):
 def test_wide_fingerprint_is_stable():
     h = np.array([1, 2, 3], np.uint64)
     assert similar.wide_fingerprint(h) == similar.wide_fingerprint(h[::-1]) and similar.wide_fingerprint(np.empty(0, np.uint64)) == [0] * 4
+
+
+def edited(base, rng, k, share):
+    """A copy with its own words in some places."""
+    w = list(base)
+    for n, at in enumerate(rng.sample(range(len(w)), share)):
+        w[at] = f"own{k}x{n}"
+    return " ".join(w)
+
+
+def test_copies_that_are_linked_through_their_original_only(spark):
+    """The original stands in the middle of the ids; copies are like it and unlike one another."""
+    rng = random.Random(7)
+    rows, k = [], 0
+    for size in (30, 200):
+        base = [f"w{size}v{n}" for n in range(400)]
+        texts = [edited(base, rng, f"{size}c{k}", 8) for k in range(size)]
+        texts.insert(size // 2, " ".join(base))
+        assert all(jaccard(t, " ".join(base)) >= 0.8 for t in texts) and jaccard(texts[0], texts[1]) < 0.8
+        rows += [(k + n, t, f"g{size}") for n, t in enumerate(texts)]
+        k += len(texts)
+    found = similar.groups(documents(spark, rows)).collect()
+    group = {i: s for i, _, s in rows}
+    assert len(found) == len(rows) and len({(group[r["doc_id"]], r["root"]) for r in found}) == 2
