@@ -93,3 +93,23 @@ def test_copies_that_are_linked_through_their_original_only(spark):
     found = similar.groups(documents(spark, rows)).collect()
     group = {i: s for i, _, s in rows}
     assert len(found) == len(rows) and len({(group[r["doc_id"]], r["root"]) for r in found}) == 2
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Also among many texts with one long passage in common, where lists are long."""
+    rng = random.Random(9)
+    common = [f"c{n}" for n in range(60)]
+    texts = []
+    for k in range(120):
+        base = common + [f"t{k}v{n}" for n in range(rng.randrange(10, 60))]
+        texts += [" ".join(base), edited(base, rng, k, rng.randrange(1, 3))]
+    got = {r["doc_id"]: r["root"] for r in similar.groups(documents(spark, list(enumerate(texts)))).collect()}
+    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) > 60 and all(got[a] == got[b] for a, b in near)
+    up = {a: a for a in got}
+    for _ in range(len(texts)):
+        low = {a: min([up[a]] + [up[y if x == a else x] for x, y in near if a in (x, y)]) for a in up}
+        if low == up:
+            break
+        up = low
+    assert len(set(got.values())) == len(set(up.values()))
