@@ -70,3 +70,14 @@ def test_awkward_rows(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in extract(df).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("2", "", 0), ("None", "Some text, here.", 16)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_all_selected_text_is_kept_however_it_is_divided():
+    half = "<p>The first part, which is short, opens the story. It has a point.</p>"
+    said = re.sub(r"<[^>]+>", " ", half).split()
+    for page in (
+        f"<body><article><section><h2>One</h2>{half}</section><section>{ARTICLE}</section></article></body>",
+        f"<body><main><h2>One</h2>{half}<div class=body>{ARTICLE}</div></main></body>",
+        f"<body><article><h2>One</h2></article><article>{half}</article><article>{ARTICLE}</article></body>".replace("</h2></article><article>", "</h2>"),
+    ):
+        assert main_text(page) == f"One {' '.join(said)} {WANT}"

@@ -4,7 +4,8 @@ A page is read once into blocks: runs of text under one block element, each
 with its root-to-leaf path of block tags. Text length and punctuation are
 aggregated per path, the two ratios are fused, smoothed over the blocks in page
 order, and paths above a threshold are content. Short blocks (headings, list
-items) that stand in the element holding most of the selected text come along.
+items) come along if they stand in the lowest element that holds all selected
+text, or in the article or main around it.
 Elements whose tag, role, class or id names page furniture take no part.
 """
 
@@ -50,8 +51,6 @@ THRESHOLD = 0.25
 KERNEL = (0.25, 0.5, 0.25)
 #: Share of link text from which a block counts as a menu.
 MAX_LINKS = 0.6
-#: Share of the selected text that the content element holds.
-HOLDS = 0.6
 
 
 def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -174,18 +173,25 @@ def main_text(page: str | None) -> str:
     score = {path: total[path] / size[path][0] for path in size}
     mean = sum(score[p] * size[p][1] for p in size) / sum(size[p][1] for p in size)
     picked = {p for p in size if score[p] >= THRESHOLD * mean}
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for text, path, ids, _ in found:
-        if path in picked:
-            for d, (i, tag) in enumerate(zip(ids, path.split("/"), strict=False)):
-                if tag not in TEXT_BLOCKS:
-                    weight[i] = weight.get(i, 0) + len(text)
-                    depth[i] = d
-    whole = sum(len(t) for t, p, _, _ in found if p in picked)
-    holder = max((i for i in weight if weight[i] >= HOLDS * whole), key=lambda i: depth[i], default=None)
-    inside = holder is not None and depth[holder] >= 2  # deeper than html/body
-    return " ".join(t for t, p, ids, _ in found if (holder in ids if inside else p in picked))
+    held = [_holders(path, ids) for _, path, ids, _ in found if path in picked]
+    common = set(held[0]).intersection(*held[1:])
+    lowest = [[e for e in held[0] if e in common]]
+    content = {_content(h) for h in (lowest if _content(lowest[0]) else held)} - {None}
+    return " ".join(t for t, p, ids, _ in found if p in picked or not content.isdisjoint(ids))
+
+
+def _holders(path: str, ids: tuple[int, ...]) -> list[tuple[int, str]]:
+    """The elements around a block, without html, body and elements of text."""
+    return [(i, tag) for i, tag in zip(ids, path.split("/"), strict=False) if tag not in TEXT_BLOCKS and tag not in ("html", "body")]
+
+
+def _content(held: list[tuple[int, str]]) -> int | None:
+    """The innermost article of these elements, or else main, or else the innermost element."""
+    for kind in ("article", "main"):
+        for i, tag in reversed(held):
+            if tag == kind:
+                return i
+    return held[-1][0] if held else None
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
