@@ -91,3 +91,14 @@ def test_masking(spark):
     spans = ss.with_spans(df).select("doc_id", ss.listed(F.col("__spans")).alias("s")).collect()
     assert sorted(r["s"] for r in spans) == ["", "", "", "", f"random:2:{2 + len(KEY)}"]
     assert ss.with_spans(df.limit(0)).count() == 0
+
+
+def test_random_strings_of_few_cases_and_digits_are_found():
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        for size in (20, 32, 40):
+            keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(200)]
+            low = [k for k in keys if len(k) / len(ss.encoding(VOCAB).encode_ordinary(k)) < ss.MAX_RATIO]
+            assert len(low) > 150 and sum(found(f"see {k}.") == [k] for k in low) >= 0.99 * len(low), (letters, size)
+    for name in ("HTTP_REQUEST_HEADER_FIELDS_TOO_LARGE", "XMLHttpRequestEventTarget", "src/main/java/org/example", "utf8_general_ci_default_2", "antidisestablishmentarianism"):
+        assert found(name) == [], name

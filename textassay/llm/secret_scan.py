@@ -3,7 +3,8 @@
 A byte-pair vocabulary encodes words and names in long tokens and random strings
 in short ones. A run of key-like characters that has a low ratio of characters
 to tokens is taken for a secret, unless it is a digest of a known length, a
-UUID, or reads as an identifier (words joined by case or punctuation).
+UUID, or an identifier: its parts between digits, punctuation and changes of case
+are, taken for themselves, words of the vocabulary.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of a run that the token test looks at, and the ratio under which it is random.
 MIN_RUN, MAX_RATIO = 20, 1.9
+#: Characters to tokens from which the parts of a run are words, and the share of the run that they make up.
+WORD_RATIO, WORD_SHARE = 3.0, 0.6
 # Hexadecimal lengths of common digests.
 DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 
@@ -56,14 +59,19 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_or_named(run: str) -> bool:
-    """Digests and UUIDs, and identifiers: few changes between letters, digits and cases."""
-    if (_HEX_ANY.fullmatch(run) and len(run) in DIGESTS) or _UUID.fullmatch(run):
-        return True
-    parts = _PARTS.findall(run)
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return len(parts) <= len(run) / 4
-    return len(parts) <= 3 or len(run) / len(parts) >= 4.5
+def known(run: str) -> bool:
+    """Digests and UUIDs, and runs without letters."""
+    return (_HEX_ANY.fullmatch(run) and len(run) in DIGESTS) or bool(_UUID.fullmatch(run)) or not any(c.isalpha() for c in run)
+
+
+def named(run: str, vocabulary: str) -> bool:
+    """Identifiers: most of the run are parts that the vocabulary has as words, alone or after a space, as written or in lower case."""
+    parts = [p for p in _PARTS.findall(run) if p.isalpha()]
+    chars = sum(map(len, parts))
+    if chars < WORD_SHARE * len(run):
+        return False
+    encode = encoding(vocabulary).encode_ordinary
+    return chars >= WORD_RATIO * sum(min(len(encode(form)) for form in (p, f" {p}", p.lower(), f" {p.lower()}")) for p in parts)
 
 
 def spans(text: str, vocabulary: str, min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
@@ -76,9 +84,9 @@ def spans(text: str, vocabulary: str, min_run: int = MIN_RUN, max_ratio: float =
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
         run = m[0].rstrip("=")
-        if len(run) < min_run or known_or_named(run):
+        if len(run) < min_run or known(run):
             continue
-        if len(run) / len(encoding(vocabulary).encode_ordinary(run)) < max_ratio:
+        if len(run) / len(encoding(vocabulary).encode_ordinary(run)) < max_ratio and not named(run, vocabulary):
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 
