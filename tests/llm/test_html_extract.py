@@ -81,3 +81,20 @@ def test_all_selected_text_is_kept_however_it_is_divided():
         f"<body><article><h2>One</h2></article><article>{half}</article><article>{ARTICLE}</article></body>".replace("</h2></article><article>", "</h2>"),
     ):
         assert main_text(page) == f"One {' '.join(said)} {WANT}"
+
+
+def test_names_of_furniture_do_not_count_against_what_holds_the_text():
+    for open_, close in (
+        ("<div id=page class='has-sidebar'><main><article>", "</article></main></div>"),
+        ("<div class='no-sidebar'>", "</div>"),
+        ("<form id=aspnetForm><div>", "</div></form>"),
+        ("<div class='related'><main>", "</main></div>"),
+        ("<div class='widget'><article>", "</article></div>"),
+    ):
+        page = f"<body>{''.join(AROUND[:5])}{open_}{ARTICLE}{close}{''.join(AROUND[6:])}</body>"
+        assert main_text(page) == WANT, open_
+        wrapped = f"<body>{open_}{AROUND[0]}{AROUND[5]}{ARTICLE}{AROUND[8]}{close}</body>"
+        assert main_text(wrapped) == WANT, open_
+    section = "<section id='related-work'><p>Others have said it before, and better.</p></section>"
+    assert main_text(f"<body><article>{ARTICLE}{section}</article></body>") == f"{WANT} Others have said it before, and better."
+    assert main_text(f"<body><div hidden><article>{ARTICLE}</article></div></body>") == ""

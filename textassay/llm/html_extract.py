@@ -6,7 +6,9 @@ aggregated per path, the two ratios are fused, smoothed over the blocks in page
 order, and paths above a threshold are content. Short blocks (headings, list
 items) come along if they stand in the lowest element that holds all selected
 text, or in the article or main around it.
-Elements whose tag, role, class or id names page furniture take no part.
+Elements whose tag, role, class or id names page furniture take no part; names,
+roles, forms and headers do not count against an element that holds a main element
+or most of the text of articles, or of the page's text if it does not stand beside these.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote ad
 _TAG = re.compile(r"""<(?:(!--)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>)""")
 _ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: First words of class names that say what a page has or lacks.
+STATES = frozenset("has no not with without".split())
+# Tags whose text never counts, whatever they hold.
+HARD = frozenset("nav footer aside button select menu dialog head".split())
+
 _PUNCT = re.compile(r"[.,;:!?、。，！？…]")
 
 #: Share of the mean score (by text length) that a path needs.
@@ -53,40 +60,84 @@ KERNEL = (0.25, 0.5, 0.25)
 MAX_LINKS = 0.6
 
 
-def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in NEVER_FURNITURE:
-        return False
-    if tag in FURNITURE or (tag == "header" and not inside_article):
-        return True
-    if not attrs.strip():
-        return False
+def _named(value: str) -> bool:
+    """A class or id names furniture, and not a state of the page or a section on related work."""
+    for token in value.split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if words and words[0] not in STATES and words != ["related", "work"] and any(w in FURNITURE_NAMES for w in words):
+            return True
+    return False
+
+
+def _furniture(tag: str, attrs: str, inside_article: bool) -> int:
+    """2 for furniture and hidden elements, 1 for elements that are furniture unless they hold the page's text, or else 0."""
     low = attrs.lower()
-    if re.search(r"(?<![\w-])hidden(?![\w-])", re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", "", low)):
-        return True
+    if low.strip() and tag not in NEVER_FURNITURE and re.search(r"(?<![\w-])hidden(?![\w-])", re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", "", low)):
+        return 2
+    if tag in NEVER_FURNITURE:
+        return 0
+    if tag in HARD:
+        return 2
+    kind = int(tag in FURNITURE or (tag == "header" and not inside_article))
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and any(w.lower() in FURNITURE_NAMES for w in _NAME.findall(value)):
-            return True
-        if key == "role" and value.lower() in FURNITURE_ROLES:
-            return True
         if (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+            return 2
+        if (key in ("class", "id") and _named(value)) or (key == "role" and value.lower() in FURNITURE_ROLES):
+            kind = 1
+    return kind
+
+
+def _soft(stack: list[tuple[str, int, int]]) -> tuple[tuple[int, bool, bool], ...]:
+    """The elements of kind 1: number, whether an article stands between them and the text, whether they stand in an article or main."""
+    at = [k for k, (t, _, _) in enumerate(stack) if t in ("article", "main")]
+    last = max((k for k in at if stack[k][0] == "article"), default=-1)
+    return tuple((i, k < last, bool(at) and at[0] < k) for k, (_, i, f) in enumerate(stack) if f)
+
+
+def _lifted(raw: list[tuple[str, str, tuple[int, ...], int, tuple[tuple[int, bool, bool], ...]]], mains: set[int]) -> set[int]:
+    """Elements of kind 1 that hold a main element, or articles with over half of the text in articles.
+
+    Also the largest, and those in and around it with over half of its text, if it has more
+    than the page has outside of such elements and does not stand beside an article or main.
+    """
+    articles = 0
+    beside = False
+    held: dict[int, int] = {}
+    around: dict[int, int] = {}
+    within: set[int] = set()
+    for text, path, _, _, soft in raw:
+        tags = path.split("/")
+        articles += len(text) if "article" in tags else 0
+        beside = beside or "article" in tags or "main" in tags
+        for i, holds, inside in soft:
+            held[i] = held.get(i, 0) + len(text)
+            around[i] = around.get(i, 0) + (len(text) if holds else 0)
+            if inside:
+                within.add(i)
+    lifted = {i for i in held if i in mains or 2 * around[i] > articles > 0}
+    free = sum(len(b[0]) for b in raw if all(i in lifted for i, _, _ in b[4]))
+    top = max((i for i in held if i not in lifted and (i in within or not beside)), key=lambda i: held[i], default=None)
+    if top is not None and held[top] > free:
+        kin = {i for _, _, _, _, soft in raw for i, _, _ in soft if any(j == top for j, _, _ in soft)}
+        lifted |= {i for i in kin if 2 * held[i] > held[top]}
+    return lifted
 
 
 def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
     """(text, tag path, ids of the enclosing block elements, characters in links)."""
-    out: list[tuple[str, str, tuple[int, ...], int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, element number, furniture
+    out: list[tuple[str, str, tuple[int, ...], int, tuple[tuple[int, bool, bool], ...]]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, element number, kind of furniture
+    mains: set[int] = set()
     parts: list[str] = []
     links = [0]
     serial = 0
 
     def flush() -> None:
         text = " ".join(_html.unescape("".join(parts)).split())
-        if text and not any(f for _, _, f in stack):
+        if text and not any(f == 2 for _, _, f in stack):
             held = [(t, i) for t, i, _ in stack if t not in INLINE]
-            out.append((text, "/".join(t for t, _ in held), tuple(i for _, i in held), min(links[0], len(text))))
+            out.append((text, "/".join(t for t, _ in held), tuple(i for _, i in held), min(links[0], len(text)), _soft(stack)))
         parts.clear()
         links[0] = 0
 
@@ -146,11 +197,12 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
             flush()
         serial += 1
         inside = any(t in ("article", "main") for t, _, _ in stack)
+        if tag == "main":
+            mains.update(i for _, i, f in stack if f)
         stack.append((tag, serial, _furniture(tag, m[4], inside)))
-    stack_open = [f for _, _, f in stack]
-    if not any(stack_open):
-        flush()
-    return out
+    flush()
+    lifted = _lifted(out, mains)
+    return [b[:4] for b in out if all(i in lifted for i, _, _ in b[4])]
 
 
 def main_text(page: str | None) -> str:
