@@ -98,3 +98,13 @@ def test_names_of_furniture_do_not_count_against_what_holds_the_text():
     section = "<section id='related-work'><p>Others have said it before, and better.</p></section>"
     assert main_text(f"<body><article>{ARTICLE}{section}</article></body>") == f"{WANT} Others have said it before, and better."
     assert main_text(f"<body><div hidden><article>{ARTICLE}</article></div></body>") == ""
+
+
+def test_links_inside_the_article_stay():
+    title, source = "<h1><a href=/vote>The vote</a></h1>", "<ul><li><a href=/1>First source, of 1990</a></li><li><a href=/2>Second source</a></li></ul>"
+    menu = "<div><a href=/a>Another page, and more</a></div>"
+    for open_, close in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<article><div>", "</div></article>")):
+        page = f"<body>{menu}{open_}{title}{ARTICLE}<p><a href=/r>Read the whole report, in full</a>.</p>{source}{close}{menu}</body>"
+        assert main_text(page) == f"The vote {WANT} Read the whole report, in full. First source, of 1990 Second source"
+    assert main_text(f"<body>{menu}<article><p><a href=/r>Only this, a link.</a></p></article></body>") == "Only this, a link."
+    assert main_text(f"<body>{menu}</body>") == ""

@@ -5,7 +5,7 @@ with its root-to-leaf path of block tags. Text length and punctuation are
 aggregated per path, the two ratios are fused, smoothed over the blocks in page
 order, and paths above a threshold are content. Short blocks (headings, list
 items) come along if they stand in the lowest element that holds all selected
-text, or in the article or main around it.
+text, or in the article or main around it; so do blocks that are mostly links.
 Elements whose tag, role, class or id names page furniture take no part; names,
 roles, forms and headers do not count against an element that holds a main element
 or most of the text of articles, or of the page's text if it does not stand beside these.
@@ -56,7 +56,7 @@ _PUNCT = re.compile(r"[.,;:!?、。，！？…]")
 THRESHOLD = 0.25
 #: Weights of the previous, own and next block in smoothing.
 KERNEL = (0.25, 0.5, 0.25)
-#: Share of link text from which a block counts as a menu.
+#: Share of link text from which a block has no part in the scores.
 MAX_LINKS = 0.6
 
 
@@ -207,7 +207,8 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, joined in page order by one space."""
-    found = [b for b in blocks(page) if b[3] <= MAX_LINKS * len(b[0])] if page else []
+    every = blocks(page) if page else []
+    found = [b for b in every if b[3] <= MAX_LINKS * len(b[0])] or [b for b in every if not {"article", "main"}.isdisjoint(b[1].split("/"))]
     if not found:
         return ""
     size: dict[str, list[int]] = {}
@@ -229,7 +230,7 @@ def main_text(page: str | None) -> str:
     common = set(held[0]).intersection(*held[1:])
     lowest = [[e for e in held[0] if e in common]]
     content = {_content(h) for h in (lowest if _content(lowest[0]) else held)} - {None}
-    return " ".join(t for t, p, ids, _ in found if p in picked or not content.isdisjoint(ids))
+    return " ".join(t for t, p, ids, n in every if (p in picked and n <= MAX_LINKS * len(t)) or not content.isdisjoint(ids))
 
 
 def _holders(path: str, ids: tuple[int, ...]) -> list[tuple[int, str]]:
