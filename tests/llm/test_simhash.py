@@ -91,11 +91,38 @@ def test_links_in_short_and_long_lists(spark):
     values += [seed ^ (1 << a) ^ (1 << b) ^ (1 << 63) for seed in values[:2] for a, b in combinations(range(0, 40, 3), 2)]
     values += [0, 1, 3, 7, 15, 31, 1 << 63, (1 << 64) - 1]
     assert linked(spark, values) == wanted(values)
-    cap, simhash.LIST_CAP = simhash.LIST_CAP, 2
-    try:
-        assert linked(spark, values) == wanted(values)
-    finally:
-        simhash.LIST_CAP = cap
+    for cap in (2, 5):
+        old, simhash.LIST_CAP = simhash.LIST_CAP, cap
+        try:
+            assert linked(spark, values) == wanted(values)
+        finally:
+            simhash.LIST_CAP = old
+
+
+def test_a_family_beyond_the_cap_at_every_level(spark):
+    """Members that differ in few bits of two bytes fill lists of four and of six bytes; chains hold through them."""
+    rng = random.Random(8)
+    base = rng.getrandbits(64) & ~0xFFFF
+    values = [base | v for v in rng.sample(range(1 << 16), 300)] + [base ^ (1 << a) ^ (1 << b) for a, b in combinations(range(16, 64, 5), 2)]
+    assert linked(spark, values) == wanted(values)
+
+
+def test_the_tally_rejects_pairs_before_their_bits_are_counted(spark):
+    """A pair meets in at least three lists if and only if it shares six positional bytes."""
+    rng = random.Random(4)
+    values = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        values += [base] + [base ^ sum(rng.randrange(1, 256) << 8 * k for k in rng.sample(range(8), n)) for n in (1, 2, 3, 3, 4, 4)]
+    df = spark.createDataFrame([(signed(v),) for v in set(values)], "fingerprint long")
+    tally, crowd = simhash.tallied(df)
+    got = {(r["a"], r["b"]): r["lists"] for r in tally.collect()}
+    shared = lambda a, b: sum((a >> 8 * k & 255) == (b >> 8 * k & 255) for k in range(8))
+    assert crowd.count() == 0
+    for a, b in combinations(sorted(map(signed, set(values))), 2):
+        assert (got.get((a, b), 0) >= simhash.MIN_LISTS) == (shared(a % (1 << 64), b % (1 << 64)) >= 6)
+    dropped = sum(n < simhash.MIN_LISTS for n in got.values())
+    assert dropped > 20 and len(got) - dropped > 20
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -1,16 +1,21 @@
-"""SimHash fingerprints and near-duplicate groups by a byte-position inverted index.
+"""SimHash fingerprints and near-duplicate groups by a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is eight bytes, each at its position. Two fingerprints
-that differ in at most two bits share at least six positional bytes. The index
-has a posting list for each pair of byte pairs (four positional bytes, six
-lists a fingerprint): of four byte pairs, two differing bits spoil two at most,
-so every linked pair meets in one list. Shared positional bytes are tallied for
-the pairs of a list, pairs with fewer than six are dropped, the rest verified.
-
-A list longer than ``LIST_CAP`` would give a number of pairs that grows with
-its square. Its members take another exact way instead: each sends itself to
-the 64 values one bit away and to its own value; members are linked if and only
-if they meet at one of these, and at most 65 fingerprints can meet there.
+that differ in at most two bits share at least six positional bytes. Posting lists
+of single bytes would hold N / 256 fingerprints each, so a list is keyed by four
+positional bytes: the 14 ``BLOCKS`` of the Steiner system S(3, 4, 8), in which every
+three positions lie in exactly one block. Of these, two fingerprints share at least
+three if they differ in at most two bytes, and at most one if they differ in three or
+more. So the tally of the lists in which a pair meets tells whether six positional
+bytes are shared: pairs below the guaranteed minimum of three go, and the bits of the
+others are counted.
+
+A list longer than ``LIST_CAP`` would give pairs by the square of its length. It is
+split by two further positional bytes, in all ways that have four of the six bytes in
+a block; each such list of six bytes stands for the three blocks that it holds. If a
+list of six bytes is still too long, it is split by bit positions: members send
+themselves to their own value and to the 64 values one bit away, and at most 65 meet
+at one of these, all within two bits of each other. No member is left out.
 """
 
 from __future__ import annotations
@@ -26,13 +31,23 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, text_of
 from .graph import components
 
-#: Longest posting list whose pairs are tallied one by one.
+#: Longest posting list whose pairs are formed; longer ones are split by further positions.
 LIST_CAP = 48
-#: Bits that linked fingerprints may differ in, and bytes they then share at least.
-MAX_BITS, MIN_SHARED = 2, 6
+#: Bits that linked fingerprints may differ in, and posting lists in which they then meet at least.
+MAX_BITS, MIN_LISTS = 2, 3
 SEED = 42
 
 
+def _blocks() -> list[tuple[int, ...]]:
+    """Sets of four of eight positions, numbered as vectors of three bits, that add up to 0 (bitwise)."""
+    return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+
+
+#: Positions of the posting lists, and those of the lists that long ones are split into.
+BLOCKS = _blocks()
+SIXES = list(combinations(range(8), 6))
+
+
 def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
     """XXH64 of each run of ``words`` words (repeats included), words lower-cased in A-Z, split at ASCII white space."""
     import xxhash
@@ -68,17 +83,49 @@ def with_fingerprint(documents: DataFrame, text: str = "text", words: int = 3, n
     return documents.withColumn(name, run.asNondeterministic()(text_of(text)))
 
 
-def posting_keys(fingerprint: str) -> Column:
-    """The keys of the lists that hold a fingerprint: list number, then two byte pairs."""
-    pair = lambda k: F.shiftrightunsigned(F.col(fingerprint), 16 * k).bitwiseAND(0xFFFF)
-    keys = [F.lit(n << 32).cast("long") + F.shiftleft(pair(i), 16) + pair(j) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return F.array(*keys)
+def _bytes(name: str, positions: tuple[int, ...]) -> Column:
+    """The bytes at these positions; the others are 0."""
+    mask = sum(0xFF << 8 * k for k in positions)
+    return F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
+def postings(name: str, sets: list[tuple[int, ...]]) -> Column:
+    """array of (list, bytes): the lists that hold a fingerprint, one for each set of positions."""
+    return F.array(*[F.struct(F.lit(n).alias("list"), _bytes(name, c).alias("bytes")) for n, c in enumerate(sets)])
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """(lists, a, b) of all pairs of the members of each list, a < b."""
+    gathered = lists.groupBy("list", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("l"))
+    each = gathered.select("list", "l", F.posexplode("l").alias("k", "a"))
+    return each.select("list", "a", F.explode(F.slice("l", F.col("k") + 2, LIST_CAP)).alias("b"))
 
 
-def shared_bytes(a: str, b: str) -> Column:
-    """Tally of positional bytes that two fingerprints share."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
+def _split(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of two members at least, up to ``LIST_CAP`` and longer ones. Counts are made before members meet."""
+    sizes = lists.groupBy("list", "bytes").agg(F.count("*").alias("members")).where("members > 1")
+    held = cut(lists.join(sizes, ["list", "bytes"]))
+    return held.where(F.col("members") <= LIST_CAP).drop("members"), held.where(F.col("members") > LIST_CAP).drop("members")
+
+
+def tallied(fingerprints: DataFrame, name: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    """(a, b, lists) of the pairs that meet, with the number of posting lists in which they do; and (at, l): members of
+    lists of six bytes that were split by bit positions, met at a value. ``fingerprints`` holds each value once.
+    """
+    values = fingerprints.select(F.col(name).alias("fp"))
+    short, long_ = _split(values.select("fp", F.inline(postings("fp", BLOCKS))))
+    met = _pairs(short).select("a", "b", F.expr("shiftleft(1, list)").alias("lists"))
+    # each long list by two further positions; lists of six bytes that several blocks lead to are one
+    leads = F.array(*[F.array(*[F.lit(n) for n, six in enumerate(SIXES) if set(block) <= set(six)]) for block in BLOCKS])
+    further = long_.select("fp", F.explode(F.get(leads, F.col("list"))).alias("n")).distinct()
+    further = further.select("fp", F.col("n").alias("list"), F.get(postings("fp", SIXES), F.col("n"))["bytes"].alias("bytes"))
+    few, many = _split(further)
+    held = F.array(*[F.lit(sum(1 << n for n, block in enumerate(BLOCKS) if set(block) <= set(six))) for six in SIXES])
+    met = met.unionByName(_pairs(few).select("a", "b", F.get(held, F.col("list")).alias("lists")))
+    tally = met.groupBy("a", "b").agg(F.bit_count(F.bit_or("lists")).alias("lists"))
+    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)]
+    crowd = many.select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("at"))
+    return tally, crowd.groupBy("at").agg(F.collect_set("fp").alias("l")).where(F.size("l") > 1)
 
 
 def links(fingerprints: DataFrame, name: str = "fingerprint") -> DataFrame:
@@ -86,18 +133,10 @@ def links(fingerprints: DataFrame, name: str = "fingerprint") -> DataFrame:
 
     ``fingerprints`` holds each value once.
     """
-    values = fingerprints.select(F.col(name).alias("fp"))
-    index = values.select("fp", F.explode(posting_keys("fp")).alias("list"))
-    sizes = cut(index.groupBy("list").agg(F.count("*").alias("members")).where("members > 1"))
-    held = cut(index.join(sizes, "list"))
-    short = held.where(F.col("members") <= LIST_CAP).groupBy("list").agg(F.sort_array(F.collect_list("fp")).alias("l"))
-    pairs = short.select("l", F.posexplode("l").alias("k", "a")).select("a", F.explode(F.slice("l", F.col("k") + 2, LIST_CAP)).alias("b"))
-    pairs = pairs.where(shared_bytes("a", "b") >= MIN_SHARED).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    crowd = held.where(F.col("members") > LIST_CAP).select("fp").distinct()
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)]
-    meets = crowd.select("fp", F.explode(F.array(*flips)).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("l")).where(F.size("l") > 1)
-    stars = meets.select(F.array_min("l").alias("a"), F.explode("l").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    tally, crowd = tallied(fingerprints, name)
+    pairs = tally.where(F.col("lists") >= MIN_LISTS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    stars = crowd.select(F.array_min("l").alias("a"), F.explode("l").alias("b")).where("a <> b")
+    return pairs.select("a", "b").unionByName(stars).distinct()
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
