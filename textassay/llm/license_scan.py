@@ -62,7 +62,7 @@ MIN_COVER = 0.75
 WHOLE_WORDS = 16
 #: Diagonals at most this far apart belong to one notice.
 MERGE_GAP = 3
-#: A span may be this many times as long as its notice.
+#: A span may be this many times as long as its notice: its diagonals are at most the rest apart.
 MAX_STRETCH = 1.5
 
 
@@ -109,21 +109,27 @@ def votes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """Merged and verified spans: start (in words), cover, kind, label; the end mark of each document stays."""
+    """Verified spans: start (in words), cover, kind, label; the end mark of each document stays.
+
+    Each diagonal of a run opens a span that takes in the diagonals up to half a notice's
+    length behind it (``MAX_STRETCH``), so its words cannot exceed the stretch; the best
+    covered span of the run stands for it.
+    """
     near = W.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     apart = (F.col("kind") != "notice") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > MERGE_GAP, F.lit(True))
     v = voted.withColumn("run", F.sum(apart.cast("int")).over(near))
-    v = v.groupBy("doc_id", "text_hash", "template", "label", "kind", "n_words", "n_grams", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("tset"))).alias("tset"),
-        F.min(F.col("diagonal") + F.array_min("tset")).alias("start"),
-        F.max(F.col("diagonal") + F.array_max("tset")).alias("last"),
-        F.min("diagonal").alias("diagonal"),
-        F.max("hits").alias("hits"),
-    )
-    v = v.withColumn("cover", F.size("tset") / F.col("n_grams"))
-    whole = F.col("cover") >= F.when((F.col("kind") == "phrase") | (F.col("n_words") <= WHOLE_WORDS), F.lit(1.0)).otherwise(F.lit(MIN_COVER))
-    short = F.col("last") + 2 - F.col("start") <= F.col("n_words") * MAX_STRETCH
-    return v.where((F.col("kind") == "end") | (whole & short))
+    # diagonals of a run are whole numbers in order, so no more rows than the widest slack are near enough
+    slack = F.floor(F.col("n_words") * (MAX_STRETCH - 1))
+    ahead = near.rowsBetween(W.currentRow, max(int(len(text.split()) * (MAX_STRETCH - 1)) for text, _ in NOTICES))
+    part = F.collect_list(F.struct("run", "diagonal", "tset")).over(ahead)
+    inside = F.filter("ahead", lambda x: (x["run"] == F.col("run")) & (x["diagonal"] <= F.col("diagonal") + slack))
+    several = (F.col("kind") == "notice") & (F.lead("run").over(near) == F.col("run"))
+    v = v.withColumn("several", F.coalesce(several, F.lit(False))).withColumn("ahead", part)
+    covered = F.when(F.col("several"), F.size(F.array_distinct(F.flatten(F.transform(inside, lambda x: x["tset"]))))).otherwise(F.size("tset"))
+    v = v.withColumn("cover", covered / F.col("n_grams")).withColumn("start", F.col("diagonal") + F.array_min("tset"))
+    v = v.groupBy("doc_id", "text_hash", "template", "label", "kind", "n_words", "run").agg(F.max("cover").alias("cover"), F.min("start").alias("start"), F.min("diagonal").alias("diagonal"), F.max("hits").alias("hits"))
+    enough = F.when((F.col("kind") == "phrase") | (F.col("n_words") <= WHOLE_WORDS), F.lit(1.0)).otherwise(F.lit(MIN_COVER))
+    return v.where((F.col("kind") == "end") | (F.col("cover") >= enough))
 
 
 def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

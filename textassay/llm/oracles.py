@@ -23,15 +23,16 @@ t2 AS (SELECT template, label, kind, n_words, tpos, tw[tpos + 1] || ' ' || tw[tp
 t AS (SELECT *, count(*) OVER (PARTITION BY template) AS n_grams FROM t2),
 p AS (SELECT rid, w, unnest(range(greatest(len(w) - 1, 0))) AS dpos FROM d),
 hits AS (SELECT rid, template, label, kind, n_words, n_grams, tpos, dpos FROM p JOIN t ON p.w[p.dpos + 1] || ' ' || p.w[p.dpos + 2] = t.gram),
-votes AS (SELECT rid, template, label, kind, n_words, n_grams, dpos - tpos AS diagonal, list(DISTINCT tpos) AS tset, min(dpos) AS first, max(dpos) AS last
+votes AS (SELECT rid, template, label, kind, n_words, n_grams, dpos - tpos AS diagonal, list(DISTINCT tpos) AS tset, min(dpos) AS first
           FROM hits GROUP BY ALL),
 runs AS (SELECT *, CASE WHEN kind <> 'notice' OR diagonal - lag(diagonal) OVER near <= {MERGE_GAP} IS NOT TRUE THEN 1 ELSE 0 END AS fresh
          FROM votes WINDOW near AS (PARTITION BY rid, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM runs),
-merged AS (SELECT rid, template, label, kind, n_words, n_grams, run, len(list_distinct(flatten(list(tset)))) / n_grams AS cover, min(first) AS start, max(last) AS last
-           FROM numbered GROUP BY rid, template, label, kind, n_words, n_grams, run),
-spans AS (SELECT * FROM merged WHERE cover >= CASE WHEN kind = 'phrase' OR n_words <= {WHOLE_WORDS} THEN 1.0 ELSE {MIN_COVER} END
-          AND last + 2 - start <= n_words * {MAX_STRETCH})
+parts AS (SELECT a.rid, a.template, a.label, a.kind, a.n_words, a.n_grams, a.run, a.diagonal, any_value(a.first) AS first, len(list_distinct(flatten(list(b.tset)))) / a.n_grams AS cover
+          FROM numbered a JOIN numbered b ON b.rid = a.rid AND b.template = a.template AND b.run = a.run AND b.diagonal BETWEEN a.diagonal AND a.diagonal + floor(a.n_words * ({MAX_STRETCH} - 1))
+          GROUP BY a.rid, a.template, a.label, a.kind, a.n_words, a.n_grams, a.run, a.diagonal),
+merged AS (SELECT rid, template, label, kind, n_words, run, max(cover) AS cover, min(first) AS start FROM parts GROUP BY rid, template, label, kind, n_words, run),
+spans AS (SELECT * FROM merged WHERE cover >= CASE WHEN kind = 'phrase' OR n_words <= {WHOLE_WORDS} THEN 1.0 ELSE {MIN_COVER} END)
 SELECT d.doc_id, any_value(len(d.w))::BIGINT AS n_words, count(*) FILTER (kind = 'phrase') AS n_base,
        min(start) FILTER (kind = 'phrase')::BIGINT AS first_word, max(start) FILTER (kind = 'phrase')::BIGINT AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'phrase'), '') AS base_labels,
