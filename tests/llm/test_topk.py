@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -21,6 +22,18 @@ def brute(rows, queries, k):
     return out
 
 
+@contextmanager
+def sizes(**new):
+    old = {n: getattr(topk, n) for n in new}
+    for n, x in new.items():
+        setattr(topk, n, x)
+    try:
+        yield
+    finally:
+        for n, x in old.items():
+            setattr(topk, n, x)
+
+
 def run(spark, rows, queries, k=5):
     got = topk.search(frame(spark, rows), frame(spark, queries), k)
     return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect())
@@ -31,12 +44,38 @@ def test_against_brute_force_in_many_blocks(spark):
     rows = [(i, [rng.gauss(0, 1) for _ in range(13)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(20)]  # ties beyond k
     queries = [r for r in rows if r[0] % 10 == 0]
-    sizes = topk.QUERY_BLOCK, topk.ROW_BLOCK
-    topk.QUERY_BLOCK, topk.ROW_BLOCK = 8, 50
-    try:
+    with sizes(QUERY_BLOCK=8, ROW_BLOCK=50, AT_ONCE=100):
         assert run(spark, rows, queries) == brute(rows, queries, 5)
-    finally:
-        topk.QUERY_BLOCK, topk.ROW_BLOCK = sizes
+
+
+def test_few_scores_are_resolved(spark):
+    """Behind the safe cutoff most entries lie below the threshold in every list."""
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(1200, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    queries = rows[::50]
+    with sizes(ROW_BLOCK=400):
+        found, work = topk.counted(frame(spark, rows), frame(spark, queries))
+        resolved, pairs = work.groupBy().sum().first()
+        assert pairs == len(rows) * len(queries) and 0 < resolved < 0.3 * pairs
+        assert found.count() < 0.05 * pairs
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert run(spark, rows, queries) == brute(rows, queries, 5)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_components_beyond_any_product(spark):
+    rows = [(0, [1e307, 1.0]), (1, [1.0, 2.0]), (2, [-1e307, 0.5]), (3, [0.0, 0.25]), (50, [1e307, -1e307])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0")).collect()))
+    ints = {i: [int(x) * 256 if abs(x) > 1e300 else int(np.floor(256 * x)) for x in v] for i, v in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in (0, 50):
+        found = sorted((-clip(sum(a * b for a, b in zip(ints[q], w, strict=True))), i) for i, w in ints.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == want
 
 
 def test_awkward_rows(spark):

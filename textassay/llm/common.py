@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_folder
 from ..functions.ship import ship
 
-__all__ = ["bounded_batches", "cut", "literal_rows", "shared_folder", "ship", "table", "text_of"]
+__all__ = ["batches_of", "bounded_batches", "cut", "literal_rows", "shared_folder", "ship", "table", "text_of"]
 
 #: Rows that go to a Python worker at once: whole texts can be long.
 BATCH_ROWS = 512
@@ -26,6 +29,18 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what runs inside; the session's own setting stands again behind it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -1,19 +1,19 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-Vectors are cut into ``SEGMENTS`` runs of dimensions; each run is a list of
-partial scores, and a score is the sum over the lists.
-
-1. Every block of candidates gives its local best entries of each list. Their
-   full scores are known where they stand; the k-th best of them is a safe
-   cutoff, as at least k candidates reach it.
-2. The cutoff t of each query goes to all blocks. A candidate that reaches t
-   has a partial score of at least t / SEGMENTS in some list, so the entries
-   above that uniform threshold suffice.
-3. Remaining scores of those entries are resolved exactly, and the k best stay.
-
-Queries and candidates meet as blocks of at most about ``QUERY_BLOCK`` by
-``ROW_BLOCK`` vectors: the only thing that grows with queries times candidates
-is arithmetic. Nothing is broadcast.
+Vectors are cut into ``LISTS`` runs of dimensions; each run gives every query a list of
+local scores, and a score is the sum over its lists.
+
+1. Each query meets one block of candidates: the local scores are gathered and the k-th
+   best full score is a safe cutoff, as at least k candidates reach it.
+2. The cutoff t of each query goes to all blocks. A candidate that reaches t has a local
+   score of at least t / LISTS in some list, so the entries at or above that uniform
+   threshold suffice; a list's entries below it are never looked at again.
+3. Only for these entries are the scores of the remaining lists resolved, exactly, and
+   the k best stay. ``counted`` tells how many scores were resolved.
+
+A candidate block is placed once and held by its task while the blocks of queries pass
+by one at a time: no candidate is sent once per query block, and a task holds one block
+of each kind whatever the table's size. Queries are sent to every candidate block.
 """
 
 from __future__ import annotations
@@ -26,14 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, ship
+from .common import batches_of, cut, ship
 
-SEGMENTS = 4
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+LISTS = 2
+#: Queries of a block, and the least and most candidates of one; local scores that are held at once.
+QUERY_BLOCK, ROW_BLOCK, MOST_ROWS, AT_ONCE = 512, 4096, 32768, 1 << 22
+#: Blocks that a Python worker is given at once.
+BATCH = 8
 #: Components become floor(SCALE * x).
 SCALE = 256
+#: Sums of products below this are exact in doubles.
+_EXACT = 2.0**53
+_LONG = 2**63
 
-_BLOCK = "block int, ids binary, vectors binary, width int"
+_BLOCK = "block int, ids binary, vectors binary, width int, wide boolean"
+_FOUND = "query_id long, vec_id long, score long, resolved long, pairs long"
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -44,12 +51,20 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.forall("v", fine)).dropDuplicates(["vec_id", "v"])
 
 
+def whole(x: float) -> int:
+    """floor(SCALE * x) without overflow: doubles from 2**53 on are whole numbers."""
+    return int(x) * SCALE if abs(x) >= _EXACT else int(np.floor(SCALE * x))
+
+
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block as raw numbers; the doubles themselves where a product could leave the range that doubles hold exactly."""
     width = max(len(v) for v in rows["v"])
     m = np.zeros((len(rows), width))
     for k, v in enumerate(rows["v"]):
-        m[k, : len(v)] = np.floor(SCALE * np.asarray(v, np.float64))
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "width": [width]})
+        m[k, : len(v)] = np.asarray(v, np.float64)
+    wide = bool(np.abs(m).max(initial=0) >= 2.0**40)
+    m = m if wide else np.floor(SCALE * m)
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "width": [width], "wide": [wide]})
 
 
 def blocks(rows: DataFrame, n: int) -> DataFrame:
@@ -57,121 +72,149 @@ def blocks(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(_pack, _BLOCK)
 
 
-def _matrix(ids: bytes, vectors: bytes, width: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    m = np.frombuffer(vectors, np.float64).reshape(len(i), width)
-    return i, np.pad(m, ((0, 0), (0, to - width)))
-
-
-def _partials(row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids of queries and rows, and partial scores by segment; a query's own row has -inf.
-
-    Sums of integers below 2**53 are exact in doubles; larger ones are taken as
-    Python integers and clipped to the range of a long.
-    """
-    width = max(row.q_width, row.r_width, 1)
-    qi, q = _matrix(row.q_ids, row.q_vectors, row.q_width, width)
-    ri, r = _matrix(row.r_ids, row.r_vectors, row.r_width, width)
-    small = np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * width < 2.0**53
-    cuts = np.array_split(np.arange(width), min(SEGMENTS, width))
-    if small:
-        parts = [q[:, c[0] : c[-1] + 1] @ r[:, c[0] : c[-1] + 1].T for c in cuts]
-    else:
-        whole = lambda m: np.array([[int(x) for x in v] for v in m], dtype=object)
-        total = whole(q) @ whole(r).T
-        parts = [np.clip(total, -(2**63), 2**63 - 1)]
-    return qi, ri, parts
-
-
-def _totals(qi, ri, parts) -> tuple[np.ndarray, np.ndarray]:
-    return sum(parts[1:], parts[0]), qi[:, None] == ri[None, :]
-
-
-def _best(total: np.ndarray, ok: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``total`` the columns of its k best among ``ok``, ties to smaller ids."""
-    for n in range(len(total)):
-        at = np.flatnonzero(ok[n])
-        if len(at) > k:
-            t = total[n, at]
-            floor = np.sort(t)[-k] if t.dtype == object else np.partition(t, len(t) - k)[-k]
-            at = at[t >= floor]
-        if len(at):
-            yield n, at[np.lexsort((ids[at], -total[n, at].astype(object) if total.dtype == object else -total[n, at]))][:k]
+class Block:
+    """Ids and components of a block; ``exact`` gives Python integers where doubles would round."""
+
+    def __init__(self, ids: bytes, vectors: bytes, width: int, wide: bool) -> None:
+        self.ids = np.frombuffer(ids, np.int64)
+        self.rows, self.wide = np.frombuffer(vectors, np.float64).reshape(len(self.ids), width), wide
+        self.most = float(np.abs(self.rows).max(initial=0)) if not wide else np.inf
+
+    def padded(self, width: int) -> np.ndarray:
+        return np.pad(self.rows, ((0, 0), (0, width - self.rows.shape[1])))
+
+    def exact(self, width: int) -> np.ndarray:
+        turn = whole if self.wide else int
+        return np.array([[turn(x) for x in v] for v in self.padded(width)], dtype=object).reshape(len(self.ids), width)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to smaller ids."""
+    at = np.arange(len(scores))
+    if len(at) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[-k])
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+def above(q: Block, r: Block, cutoff: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int], int]]:
+    """(place of the query, ids, scores, scores resolved) of up to k rows of a block that may reach each query's cutoff."""
+    width = max(q.rows.shape[1], r.rows.shape[1], 1)
+    if q.most * r.most * width >= _EXACT:
+        a, b = q.exact(width), r.exact(width)
+        for n in range(len(q.ids)):
+            total = [min(max(int(s), -_LONG), _LONG - 1) for s in b @ a[n]]
+            at = sorted((x for x in range(len(total)) if r.ids[x] != q.ids[n]), key=lambda x: (-total[x], r.ids[x]))[:k]
+            yield n, r.ids[at], [total[x] for x in at], len(total)
+        return
+    a, b = q.padded(width), r.padded(width)
+    runs = [(c[0], c[-1] + 1) for c in np.array_split(np.arange(width), min(LISTS, width))]
+    step = max(1, AT_ONCE // max(len(b), 1))
+    for first in range(0, len(a), step):
+        some = slice(first, first + step)
+        lists = [a[some, x:y] @ b[:, x:y].T for x, y in runs]
+        # doubles divide by LISTS with a rounding that must not lose an entry at the threshold
+        limit = np.nextafter(cutoff[some] / len(lists), -np.inf)[:, None]
+        enough = lists[0] >= limit
+        for part in lists[1:]:
+            enough |= part >= limit
+        enough &= q.ids[some, None] != r.ids[None, :]
+        for n in range(len(enough)):
+            at = np.flatnonzero(enough[n])
+            scores = sum(part[n, at] for part in lists)
+            keep = _best(scores, r.ids[at], k)
+            keep = keep[scores[keep] >= cutoff[first + n]]
+            yield first + n, r.ids[at[keep]], [int(s) for s in scores[keep]], len(at)
 
 
 def _gather(k: int):
-    """Phase 1: full scores of the entries that lead a list of the block, k best a query."""
+    """Phase 1: the k-th best score of each query within the block that it meets, or none if there are fewer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             for row in batch.itertuples():
-                qi, ri, parts = _partials(row)
-                total, own = _totals(qi, ri, parts)
-                lead = np.zeros(total.shape, bool)
-                for p in parts:
-                    p = np.where(own, -np.inf, p.astype(float))
-                    top = np.argpartition(p, p.shape[1] - min(k, p.shape[1]), axis=1)[:, -k:]
-                    np.put_along_axis(lead, top, True, axis=1)
-                lead &= ~own
-                found = list(_best(total, lead, ri, k))
-                yield pd.DataFrame({"query_id": np.concatenate([np.full(len(c), qi[n]) for n, c in found] or [[]]).astype(np.int64), "score": [int(x) for n, c in found for x in total[n, c]]}, columns=["query_id", "score"]).astype({"score": np.int64})
+                block = Block(row.ids, row.vectors, row.width, row.wide)
+                if row.kind == 0:
+                    held = (row.at, block)
+                elif held is not None and held[0] == row.at:
+                    found = list(above(block, held[1], np.full(len(block.ids), -np.inf), k))
+                    full = [(n, scores[-1]) for n, _, scores, _ in found if len(scores) == k]
+                    yield pd.DataFrame({"query_id": block.ids[[n for n, _ in full]], "cutoff": np.array([s for _, s in full], np.int64)})
 
     return run
 
 
 def _resolve(k: int):
-    """Phases 2 and 3: entries above the uniform threshold, their scores resolved, k best a query."""
+    """Phases 2 and 3 for the blocks of a task: each candidate block is held while all query blocks pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             for row in batch.itertuples():
-                qi, ri, parts = _partials(row)
-                cutoff = dict(zip(row.cut_ids, row.cut_scores, strict=True)) if row.cut_ids is not None else {}
-                limit = np.array([cutoff.get(q, -np.inf) for q in qi.tolist()], float)[:, None]
-                enough = np.zeros(parts[0].shape, bool)
-                for p in parts:
-                    enough |= p.astype(float) >= np.nextafter(limit / len(parts), -np.inf)
-                total, own = _totals(qi, ri, parts)
-                enough &= (total.astype(float) >= limit) & ~own
-                found = list(_best(total, enough, ri, k))
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.concatenate([np.full(len(c), qi[n]) for n, c in found] or [[]]).astype(np.int64),
-                        "vec_id": np.concatenate([ri[c] for _, c in found] or [[]]).astype(np.int64),
-                        "score": np.array([int(x) for n, c in found for x in total[n, c]], dtype=np.int64),
-                    }
-                )
+                block = Block(row.ids, row.vectors, row.width, row.wide)
+                if row.kind == 0:
+                    held = (row.at, block)
+                    continue
+                if held is None or held[0] != row.at:
+                    continue
+                cutoff = np.frombuffer(row.cutoffs, np.float64)
+                found = list(above(block, held[1], cutoff, k))
+                rows = [(block.ids[n], i, s, 0, 0) for n, ids, scores, _ in found for i, s in zip(ids.tolist(), scores, strict=True)]
+                rows.append((0, 0, 0, sum(x[3] for x in found), len(block.ids) * len(held[1].ids)))
+                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "resolved", "pairs"]).astype("int64")
 
     return run
 
 
+def _meet(rows: DataFrame, asked: DataFrame, tasks: int) -> DataFrame:
+    """Each candidate block, then the query blocks sent to it, in one task."""
+    return rows.unionByName(asked).repartitionById(tasks, F.col("at")).sortWithinPartitions("kind", "block")
+
+
+def _with_cutoffs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = []
+        for row in batch.itertuples():
+            known = dict(zip(row.c_ids, row.c_scores, strict=True)) if row.c_ids is not None else {}
+            made.append(np.array([known.get(i, -np.inf) for i in np.frombuffer(row.ids, np.int64).tolist()], np.float64).tobytes())
+        yield batch[["block", "ids", "vectors", "width", "wide"]].assign(cutoffs=made)
+
+
+def counted(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The entries found, (query_id, vec_id, score), up to k for each query and block; and (resolved, pairs) of the meetings of phase 2.
+
+    Runs at once, since blocks need smaller Arrow batches than a session has for rows.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    rows, asked = quantised(vectors, vec_id, embedding), quantised(queries, vec_id, embedding)
+    n, cores = rows.count(), spark.sparkContext.defaultParallelism
+    n_r, n_q = max(1, -(-n // MOST_ROWS), min(-(-n // ROW_BLOCK), 2 * cores)), max(1, -(-asked.count() // QUERY_BLOCK))
+    none = F.lit(None).cast("binary")
+    held = cut(blocks(rows, n_r)).withColumn("at", F.col("block")).withColumn("kind", F.lit(0)).withColumn("cutoffs", none)
+    sets = cut(blocks(asked, n_q))
+    with batches_of(spark, BATCH):
+        first = sets.withColumn("at", F.pmod("block", F.lit(n_r))).withColumn("kind", F.lit(1)).withColumn("cutoffs", none)
+        cutoffs = _meet(held, first, n_r).mapInPandas(_gather(k), "query_id long, cutoff long")
+        # vectors of one id share a result, so the best of their cutoffs counts
+        best = cutoffs.groupBy("query_id").agg(F.max("cutoff").alias("cutoff")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int"))
+        best = best.groupBy("block").agg(F.collect_list("query_id").alias("c_ids"), F.collect_list("cutoff").alias("c_scores"))
+        asking = cut(sets.join(best, "block", "left").mapInPandas(_with_cutoffs, f"{_BLOCK}, cutoffs binary"))
+        asking = asking.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))).withColumn("kind", F.lit(1))
+        found = cut(_meet(held, asking, n_r).mapInPandas(_resolve(k), _FOUND))
+    return found.where("pairs = 0").select("query_id", "vec_id", "score"), found.where("pairs > 0").select("resolved", "pairs")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` for each row of ``queries``, its own id left out.
 
     Vectors that are null or hold null or non-finite components, and rows without an
     id, take no part; a shorter vector counts as padded by zeros. A repeated row
     counts once; rows of one id with different vectors all count, and as queries share
-    one result. Ties go to the smaller vec_id. Fewer than k candidates give all.
+    one result. Ties go to the smaller vec_id. Fewer than k candidates give all. Scores
+    beyond the range of a long are clipped to it.
     """
-    ship(vectors.sparkSession)
-    rows, asked = quantised(vectors, vec_id, embedding), quantised(queries, vec_id, embedding)
-    n_rows, n_asked = rows.count(), asked.count()
-    n_r, n_q = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    held = cut(blocks(rows, n_r).select(F.col("block").alias("rb"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"), F.col("width").alias("r_width")))
-    sets = cut(blocks(asked, n_q).select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width")))
-    tasks = n_r * n_q
-
-    def meet(asking: DataFrame) -> DataFrame:
-        left = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).repartition(tasks, "qb", "rb")
-        right = asking.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))).repartition(tasks, "qb", "rb")
-        return left.hint("shuffle_hash").join(right.hint("shuffle_hash"), ["qb", "rb"])
-
-    order = W.partitionBy("query_id").orderBy(F.desc("score"))
-    lists = meet(sets).mapInPandas(_gather(k), "query_id long, score long")
-    cutoff = lists.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k)
-    cutoff = cutoff.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "score")).alias("c"))
-    asking = sets.join(cutoff, "qb", "left").select(*sets.columns, F.col("c.query_id").alias("cut_ids"), F.col("c.score").alias("cut_scores"))
-    best = meet(cut(asking)).mapInPandas(_resolve(k), "query_id long, vec_id long, score long")
+    found, _ = counted(vectors, queries, k, vec_id, embedding)
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
