@@ -1,14 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks: runs of text under one block element, each
-with its root-to-leaf path of block tags. Text length and punctuation are
-aggregated per path, the two ratios are fused, smoothed over the blocks in page
-order, and paths above a threshold are content. Short blocks (headings, list
-items) come along if they stand in the lowest element that holds all selected
-text, or in the article or main around it; so do blocks that are mostly links.
-Elements whose tag, role, class or id names page furniture take no part; names,
-roles, forms and headers do not count against an element that holds a main element
-or most of the text of articles, or of the page's text if it does not stand beside these.
+A page is read once into blocks: runs of text under one block element, each with its
+root-to-leaf tag path (containers are told apart by their class, as they are in the
+page's own style sheet; no name has a meaning here). Of each path the length of its
+text outside links and its punctuation marks are summed. The two ratios to the number
+of blocks are fused (geometric mean) and smoothed over the blocks in page order, and a
+path's score is the mean of its blocks times its share of the page's text. Paths under
+article or main, elements made for content, count ``CONTENT`` or ``CONTENTS`` times.
+
+Paths that score at least ``THRESHOLD`` of the best path are selected. The content node
+is the lowest element that holds all their blocks, or the article or main around it;
+headings, lists, quotations, links and short paragraphs in it come along; bare text in a
+box of its own comes along if its ratio is like that of the content.
+
+Elements take no part if their name says that they are not content (nav, footer, aside,
+script, ...), if they are hidden, or if they are forms, page headers, articles inside an
+article (comments, by the standard) or have a role for such parts; but not if they hold
+most of the text of articles or, for the latter, much of the page's prose.
+
+Every step is linear in the page's length, whatever the nesting.
 """
 
 from __future__ import annotations
@@ -25,226 +35,315 @@ from .common import bounded_batches
 
 # Element names of the HTML standard, by role in this operator.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas video audio".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+EMBEDDED = frozenset("svg math object canvas video audio".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset("nav footer aside form button select menu dialog fieldset head".split())
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-FURNITURE_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar widget widgets ad ads advert "
-    "adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup social share sharing comment comments disqus "
-    "reply replies related recommended recommendations login search pagination pager toolbar copyright disclaimer".split()
-)
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}, "option": {"option"}}
-NEVER_FURNITURE = frozenset("html body main article".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote address figure figcaption table thead tbody tfoot tr td th caption summary".split())
-
-_TAG = re.compile(r"""<(?:(!--)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>)""")
-_ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: First words of class names that say what a page has or lacks.
-STATES = frozenset("has no not with without".split())
-# Tags whose text never counts, whatever they hold.
-HARD = frozenset("nav footer aside button select menu dialog head".split())
-
-_PUNCT = re.compile(r"[.,;:!?、。，！？…]")
-
-#: Share of the mean score (by text length) that a path needs.
-THRESHOLD = 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEVER_CONTENT = frozenset("nav footer aside menu dialog button select head".split())
+SELDOM_CONTENT = frozenset("form fieldset".split())
+SELDOM_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+SCOPES = frozenset("ul ol dl table menu select section article main".split())
+
+#: Levels that an end tag which is left out reaches up.
+REACH = 32
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
+_GAP = re.compile(r"[\s/]*")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_MARKS = re.compile(r"[.,;:!?、。，！？…]")
+
+#: Share of the best path's score that a path needs.
+THRESHOLD = 0.4
 #: Weights of the previous, own and next block in smoothing.
 KERNEL = (0.25, 0.5, 0.25)
-#: Share of link text from which a block has no part in the scores.
-MAX_LINKS = 0.6
-
-
-def _named(value: str) -> bool:
-    """A class or id names furniture, and not a state of the page or a section on related work."""
-    for token in value.split():
-        words = [w.lower() for w in _NAME.findall(token)]
-        if words and words[0] not in STATES and words != ["related", "work"] and any(w in FURNITURE_NAMES for w in words):
-            return True
-    return False
-
-
-def _furniture(tag: str, attrs: str, inside_article: bool) -> int:
-    """2 for furniture and hidden elements, 1 for elements that are furniture unless they hold the page's text, or else 0."""
-    low = attrs.lower()
-    if low.strip() and tag not in NEVER_FURNITURE and re.search(r"(?<![\w-])hidden(?![\w-])", re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", "", low)):
-        return 2
-    if tag in NEVER_FURNITURE:
-        return 0
-    if tag in HARD:
-        return 2
-    kind = int(tag in FURNITURE or (tag == "header" and not inside_article))
-    for key, *values in _ATTR.findall(attrs):
-        key, value = key.lower(), next((v for v in values if v), "")
-        if (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return 2
-        if (key in ("class", "id") and _named(value)) or (key == "role" and value.lower() in FURNITURE_ROLES):
-            kind = 1
-    return kind
-
-
-def _soft(stack: list[tuple[str, int, int]]) -> tuple[tuple[int, bool, bool], ...]:
-    """The elements of kind 1: number, whether an article stands between them and the text, whether they stand in an article or main."""
-    at = [k for k, (t, _, _) in enumerate(stack) if t in ("article", "main")]
-    last = max((k for k in at if stack[k][0] == "article"), default=-1)
-    return tuple((i, k < last, bool(at) and at[0] < k) for k, (_, i, f) in enumerate(stack) if f)
-
-
-def _lifted(raw: list[tuple[str, str, tuple[int, ...], int, tuple[tuple[int, bool, bool], ...]]], mains: set[int]) -> set[int]:
-    """Elements of kind 1 that hold a main element, or articles with over half of the text in articles.
-
-    Also the largest, and those in and around it with over half of its text, if it has more
-    than the page has outside of such elements and does not stand beside an article or main.
-    """
-    articles = 0
-    beside = False
-    held: dict[int, int] = {}
-    around: dict[int, int] = {}
-    within: set[int] = set()
-    for text, path, _, _, soft in raw:
-        tags = path.split("/")
-        articles += len(text) if "article" in tags else 0
-        beside = beside or "article" in tags or "main" in tags
-        for i, holds, inside in soft:
-            held[i] = held.get(i, 0) + len(text)
-            around[i] = around.get(i, 0) + (len(text) if holds else 0)
-            if inside:
-                within.add(i)
-    lifted = {i for i in held if i in mains or 2 * around[i] > articles > 0}
-    free = sum(len(b[0]) for b in raw if all(i in lifted for i, _, _ in b[4]))
-    top = max((i for i in held if i not in lifted and (i in within or not beside)), key=lambda i: held[i], default=None)
-    if top is not None and held[top] > free:
-        kin = {i for _, _, _, _, soft in raw for i, _, _ in soft if any(j == top for j, _, _ in soft)}
-        lifted |= {i for i in kin if 2 * held[i] > held[top]}
-    return lifted
-
-
-def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
-    """(text, tag path, ids of the enclosing block elements, characters in links)."""
-    out: list[tuple[str, str, tuple[int, ...], int, tuple[tuple[int, bool, bool], ...]]] = []
-    stack: list[tuple[str, int, int]] = []  # tag, element number, kind of furniture
-    mains: set[int] = set()
-    parts: list[str] = []
-    links = [0]
-    serial = 0
-
-    def flush() -> None:
-        text = " ".join(_html.unescape("".join(parts)).split())
-        if text and not any(f == 2 for _, _, f in stack):
-            held = [(t, i) for t, i, _ in stack if t not in INLINE]
-            out.append((text, "/".join(t for t, _ in held), tuple(i for _, i in held), min(links[0], len(text)), _soft(stack)))
-        parts.clear()
-        links[0] = 0
-
-    def text(chunk: str) -> None:
+#: What a score counts under the page's only article or main, and under any of several.
+CONTENT, CONTENTS = 64.0, 8.0
+#: Share of the content's mean ratio from which bare text in a box inside the content is content.
+LIKE = 0.75
+#: Share of the page's prose from which a form or header is the page.
+MUCH = 1 / 3
+
+
+class Page:
+    """Elements in the order they open (a parent before its children) and blocks in page order."""
+
+    def __init__(self, page: str) -> None:
+        self.tag, self.parent, self.path, self.kind = ["#root"], [-1], [0], [0]
+        self.blocks: list[tuple[str, int, int, int]] = []  # text, element, its characters outside links, its marks there
+        self._paths: dict[tuple[int, str], int] = {}
+        self._open: list[_Open] = [_Open(0, "#root", False, False)]
+        self._count: dict[str, int] = {}
+        self._parts: list[tuple[str, bool]] = []
+        self._read(page)
+        self._flush()
+
+    def _text(self, chunk: str) -> None:
         if chunk:
-            parts.append(chunk)
-            if any(t == "a" for t, _, _ in stack):
-                links[0] += len(_html.unescape(chunk).strip())
-
-    def close(depth: int) -> None:
-        if any(t not in INLINE for t, _, _ in stack[depth:]):
-            flush()
-        del stack[depth:]
-
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
-            continue
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
+            top = self._open[-1]
+            self._parts.append((_html.unescape(chunk) if "&" in chunk else chunk, top.linked or top.links > 0))
+
+    def _flush(self) -> None:
+        if self._parts:
+            text = " ".join("".join(c for c, _ in self._parts).split())
+            if text:
+                plain = text if not any(x for _, x in self._parts) else " ".join("".join(" " if x else c for c, x in self._parts).split())
+                self.blocks.append((text, self._open[-1].number, len(plain), len(_MARKS.findall(plain))))
+            self._parts.clear()
+
+    def _close(self, depth: int) -> None:
+        self._flush()
+        for e in self._open[depth:]:
+            self._count[e.tag] -= 1
+        del self._open[depth:]
+
+    def _start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        if self._open[-1].tag == "head":
+            self._close(len(self._open) - 1)
+        top = self._open[-1]
+        if tag in INLINE:
+            if tag == "a":
+                self._end(tag)
+            top.inline.append(tag)
+            top.held[tag] = top.held.get(tag, 0) + 1
+            top.links += tag == "a"
+            return
+        if top.tag == "p":
+            self._close(len(self._open) - 1)
+        ends = CLOSES.get(tag, ())
+        if any(self._count.get(t) for t in ends):
+            for depth in range(len(self._open) - 1, max(0, len(self._open) - 1 - REACH), -1):
+                if self._open[depth].tag in ends:
+                    self._close(depth)
                     break
-            continue
-        if tag == "br":
-            parts.append("\n")
-            continue
-        if tag in VOID:
-            if tag not in INLINE:
-                flush()
-            continue
-        if tag in RAW:
-            if not m[4].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = len(page) if end is None else end.end()
-            continue
-        if tag not in INLINE:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p" or stack[depth][0] in CLOSED_BY.get(tag, ()):
-                    close(depth)
+                if self._open[depth].tag in SCOPES:
                     break
-                if stack[depth][0] not in INLINE and not (tag == "body" and stack[depth][0] != "html") and stack[depth][0] not in CLOSED_BY:
+        self._flush()
+        top, number = self._open[-1], len(self.tag)
+        named = next((v for k, v in attributes if k == "class"), "") if tag not in TEXT_BLOCKS else ""
+        label = (self.path[top.number], f"{tag}.{named}" if named else tag)
+        self.tag.append(tag)
+        self.parent.append(top.number)
+        self.path.append(self._paths.setdefault(label, len(self._paths) + 1))
+        self.kind.append(_kind(tag, attributes, top.content))
+        self._count[tag] = self._count.get(tag, 0) + 1
+        self._open.append(_Open(number, tag, top.linked or top.links > 0, top.content or tag in ("article", "main")))
+
+    def _end(self, tag: str) -> None:
+        top = self._open[-1]
+        if tag in INLINE:
+            while top.held.get(tag):
+                last = top.inline.pop()
+                top.held[last] -= 1
+                top.links -= last == "a"
+                if last == tag:
                     break
-            flush()
-        serial += 1
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        if tag == "main":
-            mains.update(i for _, i, f in stack if f)
-        stack.append((tag, serial, _furniture(tag, m[4], inside)))
-    flush()
-    lifted = _lifted(out, mains)
-    return [b[:4] for b in out if all(i in lifted for i, _, _ in b[4])]
+        elif self._count.get(tag):
+            depth = len(self._open) - 1
+            while self._open[depth].tag != tag:
+                depth -= 1
+            self._close(depth)
+
+    def _read(self, page: str) -> None:
+        at, last, endless = 0, page.rfind(">"), set()
+        while True:
+            lt = page.find("<", at)
+            comment = lt >= 0 and page.startswith("<!--", lt)
+            if lt < 0 or (lt > last and not comment):
+                self._text(page[at:])
+                return
+            self._text(page[at:lt])
+            follows = page[lt + 1]
+            if comment:
+                short = 1 if page.startswith(">", lt + 4) else 2 if page.startswith("->", lt + 4) else 0
+                end = page.find("-->", lt + 4)
+                at = lt + 4 + short if short else len(page) if end < 0 else end + 3
+            elif follows in "!?" or (follows == "/" and not _NAME.match(page, lt + 2)):
+                at = page.find(">", lt) + 1
+            elif follows == "/":
+                self._end(_NAME.match(page, lt + 2)[0].lower())
+                at = page.find(">", lt) + 1
+            elif name := _NAME.match(page, lt + 1):
+                pos, attributes = name.end(), []
+                while m := _ATTR.match(page, pos):
+                    attributes.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+                    pos = m.end()
+                pos = _GAP.match(page, pos).end()
+                if pos >= len(page):  # a tag without an end is text
+                    self._text(page[lt:])
+                    return
+                at, tag = pos + 1, name[0].lower()
+                if tag == "br":
+                    self._parts.append(("\n", False))
+                elif tag in VOID:
+                    if tag not in INLINE:
+                        self._flush()
+                elif tag in RAW or tag in EMBEDDED:
+                    if page[pos - 1] != "/" and tag not in endless:
+                        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                        if end:
+                            at = end.end()
+                        elif tag in RAW:
+                            return
+                        else:
+                            endless.add(tag)
+                else:
+                    self._start(tag, attributes)
+            else:
+                self._text("<")
+                at = lt + 1
+
+
+class _Open:
+    """An open block element, and the inline elements that are open in it."""
+
+    __slots__ = ("content", "held", "inline", "linked", "links", "number", "tag")
+
+    def __init__(self, number: int, tag: str, linked: bool, content: bool) -> None:
+        self.number, self.tag, self.linked, self.content = number, tag, linked, content
+        self.inline: list[str] = []
+        self.held: dict[str, int] = {}
+        self.links = 0
+
+
+def _kind(tag: str, attributes: list[tuple[str, str]], content: bool) -> int:
+    """3 for hidden elements, 2 for those that are never content, 1 for those that seldom are, or else 0."""
+    kind = 2 if tag in NEVER_CONTENT else int(tag in SELDOM_CONTENT or (tag == "header" and not content) or (tag == "article" and content))
+    for key, value in attributes:
+        if (key == "hidden" and tag not in ("html", "body")) or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+            return 3
+        if key == "role" and value.lower() in SELDOM_ROLES and tag not in ("html", "body", "main", "article"):
+            kind = max(kind, 1)
+    return kind
+
+
+def _summed(page: Page, of: list[int]) -> list[int]:
+    """What an element and all below it hold, from what each holds itself."""
+    out = list(of)
+    for e in range(len(out) - 1, 0, -1):
+        out[page.parent[e]] += out[e]
+    return out
+
+
+def _content_blocks(page: Page) -> list[int]:
+    """Numbers of the blocks that do not stand in furniture."""
+    n = len(page.tag)
+    text, prose = [0] * n, [0] * n
+    for t, e, _, _ in page.blocks:
+        text[e] += len(t)
+        prose[e] += len(t) if page.tag[e] in TEXT_BLOCKS else 0
+    hidden = [False] * n
+    for e in range(1, n):
+        hidden[e] = hidden[page.parent[e]] or page.kind[e] == 3
+    visible = lambda held: _summed(page, [0 if hidden[e] else held[e] for e in range(n)])
+    mass, said = visible(text), visible(prose)
+    articles = [0] * n  # text of the articles below an element
+    for e in range(n - 1, 0, -1):
+        articles[page.parent[e]] += mass[e] if page.tag[e] in ("article", "main") else articles[e]
+    bad, free = [False] * n, [False] * n
+    for e in range(1, n):
+        free[e] = free[page.parent[e]] or page.kind[e] >= 2
+    page_prose = sum(prose[e] for e in range(n) if not free[e])
+    for e in range(1, n):
+        holds = 2 * articles[e] > articles[0] > 0
+        is_page = page.kind[e] == 1 and said[e] > MUCH * page_prose
+        bad[e] = bad[page.parent[e]] or page.kind[e] == 3 or (page.kind[e] > 0 and not holds and not is_page)
+    return [k for k, b in enumerate(page.blocks) if not bad[b[1]]]
+
+
+def path_scores(page: Page, blocks: list[int]) -> dict[int, float]:
+    """Score of each path of these blocks."""
+    sums: dict[int, list[int]] = {}
+    for k in blocks:
+        _, e, chars, marks = page.blocks[k]
+        s = sums.setdefault(page.path[e], [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + 1, s[1] + chars, s[2] + marks
+    fused = {p: ((chars / n) * (1 + marks / n)) ** 0.5 for p, (n, chars, marks) in sums.items()}
+    own = [fused[page.path[page.blocks[k][1]]] for k in blocks]
+    smooth: dict[int, float] = {}
+    for i, k in enumerate(blocks):
+        near = [(w, own[i + d]) for d, w in zip((-1, 0, 1), KERNEL, strict=True) if 0 <= i + d < len(own)]
+        p = page.path[page.blocks[k][1]]
+        smooth[p] = smooth.get(p, 0.0) + sum(w * x for w, x in near) / sum(w for w, _ in near)
+    every = sum(s[1] for s in sums.values())
+    inside = _nearest(page, ("article", "main"))
+    under = {page.path[page.blocks[k][1]] for k in blocks if inside[page.blocks[k][1]] >= 0}
+    outermost = list(inside)
+    for e in range(1, len(outermost)):
+        if outermost[page.parent[e]] >= 0:
+            outermost[e] = outermost[page.parent[e]]
+    weight = CONTENT if len({outermost[page.blocks[k][1]] for k in blocks} - {-1}) == 1 else CONTENTS
+    return {p: smooth[p] / n * (chars / every) * (weight if p in under else 1.0) if chars else 0.0 for p, (n, chars, _) in sums.items()}
+
+
+def _nearest(page: Page, tags: tuple[str, ...]) -> list[int]:
+    """The nearest element of these names around or at each element, or -1."""
+    out = [-1] * len(page.tag)
+    for e in range(1, len(out)):
+        out[e] = e if page.tag[e] in tags else out[page.parent[e]]
+    return out
+
+
+def _kept(page: Page, blocks: list[int], score: dict[int, float]) -> list[int]:
+    """The selected blocks, and those that come along."""
+    best = max(score.values(), default=0.0)
+    article, main = _nearest(page, ("article",)), _nearest(page, ("main",))
+    around = lambda e: article[e] if article[e] >= 0 else main[e]
+    if best <= 0:  # nothing but links: those of an article
+        return [k for k in blocks if around(page.blocks[k][1]) >= 0]
+    picked = {k for k in blocks if score[page.path[page.blocks[k][1]]] >= THRESHOLD * best}
+    n = len(page.tag)
+    held = [0] * n
+    for k in picked:
+        held[page.blocks[k][1]] += 1
+    held = _summed(page, held)
+    lowest = max(e for e in range(n) if held[e] == len(picked))
+    while page.tag[lowest] in TEXT_BLOCKS:
+        lowest = page.parent[lowest]
+    nodes = {around(lowest)} if around(lowest) >= 0 else {around(page.blocks[k][1]) for k in picked} - {-1}
+    whole = page.tag[lowest] not in ("#root", "html", "body")
+    inside, holder = [False] * n, [0] * n  # holder: the nearest element that is not one of text
+    for e in range(1, n):
+        inside[e] = inside[page.parent[e]] or e in nodes or (not nodes and whole and e == lowest)
+        holder[e] = holder[page.parent[e]] if page.tag[e] in TEXT_BLOCKS else e
+    mean = sum(_ratio(page.blocks[k]) for k in picked) / len(picked)
+    in_text = [False] * n
+    for e in range(1, n):
+        in_text[e] = in_text[page.parent[e]] or page.tag[e] in TEXT_BLOCKS
+    written = 2 * sum(len(page.blocks[k][0]) for k in picked if in_text[page.blocks[k][1]]) >= sum(len(page.blocks[k][0]) for k in picked)
+
+    def along(k: int) -> bool:
+        """Text elements that stand straight in an element around the content: a title or opening, or all if it has no element of its own."""
+        e = page.blocks[k][1]
+        if nodes or page.tag[e] not in TEXT_BLOCKS:
+            return False
+        if whole:
+            return held[holder[e]] == len(picked) and (page.tag[e] in HEADINGS or _ratio(page.blocks[k]) >= THRESHOLD * mean)
+        return held[holder[e]] > 0
+
+    def box(k: int) -> bool:
+        """Bare text in a container of its own, where content stands in text elements, and shorter or with fewer marks: an advert."""
+        e = page.blocks[k][1]
+        return written and not in_text[e] and held[e] == 0 and _ratio(page.blocks[k]) < LIKE * mean
+
+    return [k for k in blocks if k in picked or (inside[page.blocks[k][1]] and not box(k)) or along(k)]
+
+
+def _ratio(block: tuple[str, int, int, int]) -> float:
+    return (block[2] * (1 + block[3])) ** 0.5
 
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, joined in page order by one space."""
-    every = blocks(page) if page else []
-    found = [b for b in every if b[3] <= MAX_LINKS * len(b[0])] or [b for b in every if not {"article", "main"}.isdisjoint(b[1].split("/"))]
-    if not found:
+    if not page:
         return ""
-    size: dict[str, list[int]] = {}
-    for text, path, _, _ in found:
-        n = size.setdefault(path, [0, 0, 0])
-        n[0] += 1
-        n[1] += len(text)
-        n[2] += len(_PUNCT.findall(text))
-    fused = {path: ((chars / n) * (1 + marks / n)) ** 0.5 for path, (n, chars, marks) in size.items()}
-    own = [fused[path] for _, path, _, _ in found]
-    total: dict[str, float] = {}
-    for k, (_, path, _, _) in enumerate(found):
-        near = [(w, own[k + d]) for d, w in zip((-1, 0, 1), KERNEL, strict=True) if 0 <= k + d < len(own)]
-        total[path] = total.get(path, 0.0) + sum(w * x for w, x in near) / sum(w for w, _ in near)
-    score = {path: total[path] / size[path][0] for path in size}
-    mean = sum(score[p] * size[p][1] for p in size) / sum(size[p][1] for p in size)
-    picked = {p for p in size if score[p] >= THRESHOLD * mean}
-    held = [_holders(path, ids) for _, path, ids, _ in found if path in picked]
-    common = set(held[0]).intersection(*held[1:])
-    lowest = [[e for e in held[0] if e in common]]
-    content = {_content(h) for h in (lowest if _content(lowest[0]) else held)} - {None}
-    return " ".join(t for t, p, ids, n in every if (p in picked and n <= MAX_LINKS * len(t)) or not content.isdisjoint(ids))
-
-
-def _holders(path: str, ids: tuple[int, ...]) -> list[tuple[int, str]]:
-    """The elements around a block, without html, body and elements of text."""
-    return [(i, tag) for i, tag in zip(ids, path.split("/"), strict=False) if tag not in TEXT_BLOCKS and tag not in ("html", "body")]
-
-
-def _content(held: list[tuple[int, str]]) -> int | None:
-    """The innermost article of these elements, or else main, or else the innermost element."""
-    for kind in ("article", "main"):
-        for i, tag in reversed(held):
-            if tag == kind:
-                return i
-    return held[-1][0] if held else None
+    read = Page(page)
+    blocks = _content_blocks(read)
+    return " ".join(read.blocks[k][0] for k in _kept(read, blocks, path_scores(read, blocks))) if blocks else ""
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
