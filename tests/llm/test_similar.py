@@ -1,6 +1,9 @@
 import random
+from collections import Counter
+from itertools import combinations
 
-import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from textassay.llm import similar
 from textassay.llm.simhash import shingle_hashes
@@ -66,9 +69,59 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert got == 1
 
 
-def test_wide_fingerprint_is_stable():
-    h = np.array([1, 2, 3], np.uint64)
-    assert similar.wide_fingerprint(h) == similar.wide_fingerprint(h[::-1]) and similar.wide_fingerprint(np.empty(0, np.uint64)) == [0] * 4
+def all_pairs(texts, similarity=0.8):
+    """Every pair that reaches the similarity, from the sets themselves."""
+    sets = {i: set(shingle_hashes(t or "", 5).tolist()) for i, t in texts.items()}
+    holders, pairs = {}, set()
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter(p for some in holders.values() for p in combinations(sorted(some), 2))
+    for (a, b), n in shared.items():
+        if n >= similarity * (len(sets[a]) + len(sets[b]) - n):
+            pairs.add((a, b))
+    first = {}
+    return pairs | {(first[t], i) for i, t in sorted(texts.items()) if first.setdefault(t, i) != i}
+
+
+def components(ids, pairs):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {i: find(i) for i in ids}
+
+
+def same_groups(got, want):
+    return {frozenset(i for i in got if got[i] == g) for g in set(got.values())} == {frozenset(i for i in want if want[i] == g) for g in set(want.values())}
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 2, "BLOCK": 3, "PART": 4, "OFTEN": 1}, {"SHORT": 2, "COMMON": 1}])
+def test_documents_against_all_pairs(spark, monkeypatch, limits):
+    """Recall and precision by brute force: every pair at 0.8 or more is in a group, and no group holds more, also if most lists count as long."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    pairs = all_pairs({i: t or "" for i, t in texts.items()})
+    for name, x in limits.items():
+        monkeypatch.setattr(similar, name, x)
+    got = {r["doc_id"]: r["root"] for r in similar.groups(docs).collect()}
+    assert len(pairs) > 50 and all(got[a] == got[b] for a, b in pairs)
+    assert same_groups(got, components(texts, pairs))
+
+
+def test_columns_of_any_name_survive(spark):
+    df = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)])
+    names = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("__key", "__id", "__slot", "key", "slot", "row", "root")}
+    got = similar.one_of_each(df.withColumns(names)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3]
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
 
 
 def edited(base, rng, k, share):
