@@ -51,11 +51,12 @@ def test_targets_and_budgets(spark):
 def test_ranges_do_not_show(spark):
     df = documents(spark, [(k, "w " * (1 + k % 5), "one" if k % 3 else "two") for k in range(300)])
     whole = sorted((r["doc_id"], r["__taken"]) for r in mixing.mix(df).collect())
-    ranges, mixing.RANGES = mixing.RANGES, 1
-    try:
-        assert sorted((r["doc_id"], r["__taken"]) for r in mixing.mix(df).collect()) == whole
-    finally:
-        mixing.RANGES = ranges
+    for size in (1, 10):
+        old, mixing.RANGE_ROWS = mixing.RANGE_ROWS, size
+        try:
+            assert sorted((r["doc_id"], r["__taken"]) for r in mixing.mix(df).collect()) == whole
+        finally:
+            mixing.RANGE_ROWS = old
 
 
 def test_copies_are_what_was_taken(spark):

@@ -34,6 +34,21 @@ def test_homomorphic(spark):
     assert df.select(ms.add(ms.subtract(F.col("x"), F.col("y")), F.col("y"))).first()[0] == ab[0]
 
 
+def test_a_whole_fingerprint_follows_when_paragraphs_come_and_go(spark):
+    """From strings alone, both parts equal those of the changed text; counts that wrap too."""
+    cases = [("one. two", "three\nfour. five"), ("", "x. y"), ("a. b\na. b", "a. b"), ("same. " * 40_000, "same. " * 30_000)]
+    df = spark.createDataFrame([(a, b, f"{a}\n{b}") for a, b in cases], "a string, b string, ab string")
+    of = lambda c: ms.as_string(ms.strong_part(F.col(c)), ms.sketch_part(F.col(c)))
+    df = df.select(*[of(c).alias(c) for c in df.columns])
+    for r in df.select("*", ms.inserted(F.col("a"), F.col("b")).alias("grown"), ms.deleted(F.col("ab"), F.col("b")).alias("back")).collect():
+        assert r["grown"] == r["ab"] and r["back"] == r["a"]
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        ms.edited_pairs(documents(spark, [(1, "x")]).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_long_repetition_wraps(spark):
     (_, w), = lanes(spark, ["same. " * 70_000])
     assert sorted(set(w)) in ([0, 70_000 - 65_536], [-(70_000 - 65_536), 0])

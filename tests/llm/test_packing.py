@@ -54,6 +54,11 @@ def test_odd_texts_encode_alike(spark):
         ids = [x for _, part in sorted(by[k]) for x in part]
         assert ids == [*t.encode(text, add_special_tokens=False).ids, 0], text
     assert by[100] == [(0, [0]), (0, [0])] and by[None] == [(0, [0])]
+    copies = pieces(documents(spark, [(1, "one two three")] * 3).repartition(2), limit=2).collect()
+    by_row = {}
+    for r in copies:
+        by_row.setdefault(r["row_id"], []).append((r["start"], r["length"]))
+    assert len(by_row) == 3 and len({tuple(sorted(x)) for x in by_row.values()}) == 1
     assert pieces(df.limit(0)).count() == 0
 
 

@@ -71,3 +71,12 @@ def test_awkward_rows(spark):
     assert got(clashing(documents(spark, docs)).repartition(4), 3) == brute(docs, 3)
     assert got(documents(spark, docs[:1])) == brute(docs[:1])
     assert sharding.shards(documents(spark, docs).limit(0)).count() == 0
+
+
+def test_a_row_that_stands_often(spark, monkeypatch):
+    docs = [(7, "same")] * 500 + [(k, f"text {k}") for k in range(200)]
+    want = brute(docs)
+    assert got(documents(spark, docs)) == want
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 1)
+    assert got(documents(spark, docs)) == want

@@ -6,8 +6,8 @@ then rows of a range), and each source is cut at its exact budget. Where a
 source's target exceeds its size the source is taken in whole epochs first and
 the rest is cut out of one more.
 
-Key ranges keep a source that holds most of the rows spread over ``RANGES``
-groups. The only table that meets in one task has a row per source.
+Key ranges keep a source that holds most of the rows spread over groups of about
+``RANGE_ROWS`` rows. The only table that meets in one task has a row per source.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql.window import Window as W
 
 from .common import text_of
 
-#: Key ranges of a source (16 ** 3 hexadecimal prefixes of the key, in fours).
-RANGES = 1024
+#: Rows of a key range, about, and most ranges of a source (five hexadecimal digits of the key).
+RANGE_ROWS, RANGES = 20_000, 1 << 20
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most this many times.
@@ -62,9 +62,10 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", key: s
     have target 0. Other columns pass through.
     """
     body = text_of(text)
+    ranges = max(1, min(RANGES, 1 << (documents.count() // RANGE_ROWS).bit_length()))
     rows = documents.withColumn("__size", word_count(body)).withColumn("__key", F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body))))
     named = F.concat(F.lit("="), F.col(source).cast("string"))  # null becomes "", so that joins need no null-safe key
-    rows = rows.withColumn("__source", F.coalesce(named, F.lit(""))).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 3), 16, 10).cast("int") * RANGES / 4096).cast("int"))
+    rows = rows.withColumn("__source", F.coalesce(named, F.lit(""))).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 5), 16, 10).cast("long") * ranges / (1 << 20)).cast("int"))
     per_range = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("range_size"))
     earlier = W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     start = per_range.withColumn("__start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).select("__source", "__range", "__start")

@@ -8,7 +8,8 @@ reading the rest. The vector has two parts:
 * eight lanes of 32 bits: words of the paragraph's SHA-256, added modulo 2**32.
   Two texts with equal lanes hold the same paragraphs.
 * ``LANES`` lanes of 16 bits: each sentence of a paragraph adds 1 or -1 to one
-  lane chosen by its MD5, modulo 2**16. The angle between two of these vectors
+  lane chosen by its MD5, modulo 2**16. Both parts of a text are the sums of those of
+  its paragraphs, so both follow when paragraphs come or go. The angle between two of these vectors
   estimates the share of sentences that two texts have in common.
 
 A fingerprint is a hexadecimal string: 64 digits of the first part, then four
@@ -25,8 +26,8 @@ from .common import cut, text_of
 
 LANES = 64
 STRONG = 8
-#: Rows of a window group, and most groups.
-GROUP_ROWS, MAX_GROUPS = 200, 50_000
+#: Rows of a window group, and ranges of ids that groups divide evenly.
+GROUP_ROWS, QUANTILES = 200, 256
 
 _HEX = "0123456789abcdef"
 #: Cells in the order of lanes: the one that adds, the one that takes away.
@@ -54,8 +55,7 @@ def sketch_part(text: Column) -> Column:
     row = F.array_join(F.transform(F.transform(sentences(text), F.md5), cell), "")
     count = lambda s, c: ((F.octet_length(s) - F.octet_length(F.replace(s, F.concat(c, F.lit(",")), F.lit("")))) / 3).cast("int")
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _CELLS])
-    low = lambda v: (v + 32768).bitwiseAND(65535) - 32768
-    held = F.transform(F.array(row), lambda s: F.transform(cells, lambda c: low(count(s, c["a"]) - count(s, c["b"]))))
+    held = F.transform(F.array(row), lambda s: F.transform(cells, lambda c: _low(count(s, c["a"]) - count(s, c["b"]))))
     return held[0]
 
 
@@ -69,6 +69,40 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x - y).bitwiseAND(0xFFFFFFFF))
 
 
+def _low(v: Column) -> Column:
+    """Modulo 2**16, as a signed number."""
+    return ((v + 32768).bitwiseAND(65535) - 32768).cast("int")
+
+
+def add_sketch(a: Column, b: Column) -> Column:
+    """The sketch of two texts' paragraphs together."""
+    return F.zip_with(a, b, lambda x, y: _low(x + y))
+
+
+def subtract_sketch(a: Column, b: Column) -> Column:
+    """The sketch of a text's paragraphs without another's."""
+    return F.zip_with(a, b, lambda x, y: _low(x - y))
+
+
+def parts(fingerprint: Column) -> tuple[Column, Column]:
+    """Strong lanes and sketch of a fingerprint's string."""
+    number = lambda at, n: F.conv(fingerprint.substr(at, F.lit(n)), 16, 10).cast("long")
+    strong = F.transform(F.sequence(F.lit(0), F.lit(STRONG - 1)), lambda k: number(k * 8 + 1, 8))
+    return strong, F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: _low(number(k * 4 + 8 * STRONG + 1, 4)))
+
+
+def inserted(fingerprint: Column, paragraphs_: Column) -> Column:
+    """The fingerprint of a text with further paragraphs, from both fingerprints alone."""
+    (a, x), (b, y) = parts(fingerprint), parts(paragraphs_)
+    return as_string(add(a, b), add_sketch(x, y))
+
+
+def deleted(fingerprint: Column, paragraphs_: Column) -> Column:
+    """The fingerprint of a text without some of its paragraphs, from both fingerprints alone."""
+    (a, x), (b, y) = parts(fingerprint), parts(paragraphs_)
+    return as_string(subtract(a, b), subtract_sketch(x, y))
+
+
 def as_string(strong: Column, sketch: Column) -> Column:
     wide = F.array_join(F.transform(strong, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
     narrow = F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(65535).cast("long"))), 4, "0")), "")
@@ -95,25 +129,34 @@ def _groups(rows: DataFrame, key: str) -> tuple[Column, int]:
     """
     n = rows.count()
     some = rows.where(F.col(key).isNotNull())
-    bounds = sorted({float(q) for q in some.approxQuantile(key, [k / 64 for k in range(65)], 0.002)}) if n else []
+    ranges = max(1, min(QUANTILES, n // (4 * GROUP_ROWS)))
+    bounds = sorted({float(q) for q in some.approxQuantile(key, [k / ranges for k in range(ranges + 1)], 0.25 / ranges)}) if n else []
     if len(bounds) < 2:
         return F.when(F.col(key).isNull(), 1).otherwise(0), 2
-    fine = max(1, min(n // GROUP_ROWS, MAX_GROUPS) // (len(bounds) - 1))
-    inner = F.array(*map(F.lit, bounds[1:-1])) if len(bounds) > 2 else F.array().cast("array<double>")
+    fine = max(1, n // GROUP_ROWS // (len(bounds) - 1))
     value = F.col(key).cast("double")
-    coarse = F.size(F.filter(inner, lambda b: b <= value))
-    low, high = F.element_at(F.array(*map(F.lit, bounds[:-1])), coarse + 1), F.element_at(F.array(*map(F.lit, bounds[1:])), coarse + 1)
-    part = F.least(F.greatest(F.floor((value - low) / (high - low) * fine), F.lit(0)), F.lit(fine - 1))
+
+    def search(first: int, last: int) -> Column:
+        """Which two bounds the value lies between, found by halves."""
+        middle = (first + last) // 2
+        return F.lit(first) if first + 1 == last else F.when(value < F.lit(bounds[middle]), search(first, middle)).otherwise(search(middle, last))
+
+    coarse = search(0, len(bounds) - 1)
+    low, high = F.get(F.array(*map(F.lit, bounds[:-1])), coarse), F.get(F.array(*map(F.lit, bounds[1:])), coarse)
+    part = F.least(F.greatest(F.floor((value - low) / (high - low) * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
     last = (len(bounds) - 1) * fine
-    return F.when(F.col(key).isNull(), F.lit(last)).otherwise(F.lit(last - 1) - (coarse * fine + part)).cast("int"), last + 1
+    return F.when(F.col(key).isNull(), F.lit(last)).otherwise(F.lit(last - 1) - (coarse * fine + part)).cast("long"), last + 1
 
 
 def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, strong, sketch, and next (struct of the same of the following row in descending id; the last row has the first).
 
-    Rows of one id are ordered by their text, null ids come last. No task sees more than
-    a group of neighbouring ids; only first rows of groups meet in one.
+    Ids are whole numbers (any integer type). Rows of one id are ordered by their text, null
+    ids come last. No task sees more than a group of neighbouring ids; only the numbers of
+    groups meet in one.
     """
+    if documents.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be an integer column")
     rows = documents.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     group, _ = _groups(rows.select("doc_id"), "doc_id")
     rows = rows.withColumn("strong", strong_part(F.col("text"))).withColumn("sketch", sketch_part(F.col("text"))).withColumn("group", group)
@@ -124,9 +167,11 @@ def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = documents.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("group", group)
     first = first.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("back"), "text"))["text"].alias("text"))
     first = cut(first)
+    # only the numbers of groups meet in one task; their first texts are joined
     around = W.orderBy("group")
     whole = around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    after = first.select("group", F.coalesce(F.lead("text").over(around), F.first("text").over(whole)).alias("text"))
+    follows = first.select("group").select("group", F.coalesce(F.lead("group").over(around), F.first("group").over(whole)).alias("following"))
+    after = follows.join(first.select(F.col("group").alias("following"), "text"), "following").select("group", "text")
     after = after.withColumn("strong", strong_part(F.col("text"))).withColumn("sketch", sketch_part(F.col("text"))).select("group", own.alias("beyond"))
     rows = rows.join(after, "group")
     return rows.select("doc_id", "text", "strong", "sketch", F.coalesce("next", "beyond").alias("next"))

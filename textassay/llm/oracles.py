@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import COMMON, MAX_STRETCH, MERGE_GAP, MIN_COVER, NOTICES, PHRASES, WHOLE_WORDS
-from .mixing import MAX_EPOCHS, RANGES, WEIGHTS
+from .mixing import MAX_EPOCHS, WEIGHTS
 from .multiset import LANES, STRONG
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -77,13 +77,14 @@ def piece_lengths(tokens: int, limit: int = MAX_TOKENS) -> list[int]:
 
 
 def pieces(documents: DataFrame, text: str = "text", vocabulary: str | None = None, limit: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
-    """A row per piece: the columns of ``documents`` but the text, then start, length, ids_crc32, doc_tokens,
+    """A row per piece: the columns of ``documents`` but the text, then row_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, bucket (log2 of length) and, on demand, ids.
 
     ``limit`` must be a power of two. A null or empty text has one piece: the end id.
     Each repeated row is packed as a document of its own, and a very long text gives
     many pieces of ``limit``. Columns of ``documents`` that have one of the names
-    above are dropped. sequence_id is unique, not dense.
+    above are dropped. row_id tells the rows of ``documents`` apart, those that repeat one
+    id or text too; it and sequence_id are unique, not dense.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -106,9 +107,10 @@ def pieces(documents: DataFrame, text: str = "text", vocabulary: str | None = No
                 out.append(rows)
             yield pd.Series(out)
 
-    made = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"]
+    made = ["row_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"]
     keep = [c for c in documents.columns if c not in (text, *made)]
-    out = documents.select(*keep, F.inline(cut_up.asNondeterministic()(text_of(text))))
+    rows = documents.select(*keep, F.monotonically_increasing_id().alias("row_id"), F.col(text))
+    out = rows.select(*keep, "row_id", F.inline(cut_up.asNondeterministic()(text_of(text))))
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
 
 
