@@ -1,4 +1,10 @@
-"""Small files in the shared store, through Hadoop's file systems, so any path that Spark reads works."""
+"""Small files in the shared store, through Hadoop's file systems.
+
+Any path that Spark reads can be read and written. ``create`` relies on a rename that is
+atomic and refuses an existing target, as HDFS and local file systems have it; on object
+stores whose rename copies, two writers at one moment may both succeed, so a store there
+needs a single writer.
+"""
 
 from __future__ import annotations
 
@@ -47,6 +53,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def delete_on_exit(self, name: str = "") -> None:
+        """Delete when the application ends: what a lazy result is still read from."""
+        self._fs.deleteOnExit(self._path(name))
+
     def names(self, name: str = "") -> list[str]:
         if not self.exists(name):
             return []
