@@ -1,91 +1,132 @@
 import pytest
 
-from textassay.functions.text import HTML_ELEMENTS, decode_entities
+from textassay.functions.text import CLAUSE_ENDS, HTML_ELEMENTS, chars, decode_entities
 from textassay.operators import features as fx
 from textassay.params import ExtractParams
 
-CASES = [
-    ("Bonjour bonjour BONJOUR", {}, {"w:bonjour": 3, "caps:": 1}, []),
-    ("référencement référencement", {}, {"w:référencement": 2}, []),
-    ("devis gratuit, devis gratuit", {}, {"w2:devis_gratuit": 2}, ["w2:gratuit_devis"]),
-    ("appelez 0612345678 maintenant", {}, {"num:10": 1}, ["w2:appelez_maintenant"]),
-    ("1234567890123456", {}, {"num:12": 1}, ["num:16"]),
-    ("seo", {"char_ngrams": "all", "min_ngram": 3, "max_ngram": 3}, {"c3:_se": 1, "c3:seo": 1, "c3:eo_": 1}, ["c4:_seo"]),
-    ("viagra", {"char_ngrams": "all", "min_ngram": 3, "max_ngram": 4}, {"c3:gra": 1, "c3:ra_": 1, "c4:gra_": 1, "w:viagra": 1}, []),
-    ("v1agra", {"char_ngrams": "all", "min_ngram": 3, "max_ngram": 4}, {"c3:gra": 1, "c3:agr": 1, "c4:gra_": 1}, ["w:viagra"]),
-    ("免费赚钱 free money", {"max_ngram": 2}, {"w:免费赚钱": 1, "c2:_免": 1, "c2:免费": 1, "c2:费赚": 1, "c2:赚钱": 1, "c2:钱_": 1, "w:free": 1, "w:money": 1}, ["c2:fr"]),
-    ("免", {}, {"c2:_免": 1, "c2:免_": 1, "c3:_免_": 1}, ["w:免"]),
-    ("免费赚钱 free", {"char_ngrams": "none"}, {"w:free": 1}, ["c2:免费", "c3:_免费"]),
-    ("Visit https://www.Cheap-Leads.example.com/free-seo-audit?x=1 now.", {}, {"url:": 1, "host:cheap-leads.example.com": 1, "tld:com": 1, "path:free": 1, "path:seo": 1, "path:audit": 1, "w:visit": 1, "w:now": 1, "w2:visit_now": 1}, ["w:https", "w:cheap"]),
-    ("Check pimpmyviews.com. Or seo-agency.co.uk!", {}, {"host:pimpmyviews.com": 1, "host:seo-agency.co.uk": 1, "url:": 2, "tld:uk": 1, "punct:!": 1}, []),
-    ("contact me at John.Doe+promo@Gmail.com", {}, {"mail:": 1, "mail:gmail.com": 1}, ["w:john", "host:gmail.com"]),
-    ("a@b.com_x@y.com", {}, {"mail:": 2, "mail:b.com": 1, "mail:y.com": 1}, []),
-    ('great <a rel="nofollow" href="https://x.example">link</a><br />', {}, {"tag:a": 2, "tag:br": 1, "w:great": 1, "w:link": 1}, ["w:nofollow", "w:href"]),
-    ("From: John <john@example.com>, see <https://evil.example/x> now", {}, {"mail:example.com": 1, "host:evil.example": 1, "tld:example": 1, "path:x": 1}, ["tag:john"]),
-    ('<foo bar="1">text</foo> <br>', {}, {"tag:br": 1, "w:foo": 2, "w:text": 1}, ["tag:foo"]),
-    ("<foo <b> x", {}, {"w:foo": 1}, ["tag:b"]),
-    ("if 3 < n and n > 2 then", {}, {"w:and": 1, "w:then": 1}, ["tag:n"]),
-    ("http://user@host.example/a", {}, {"url:": 1, "host:host.example": 1, "path:a": 1}, ["mail:host.example"]),
-    ("http://host.example:8080/a#b", {}, {"host:host.example": 1, "path:a": 1}, ["path:b"]),
-    ("caf&eacute; &amp; th&#233;", {}, {"w:café": 1, "w:thé": 1}, []),
-    ("&amp;lt;b&amp;gt;", {}, {"w:lt": 1, "w:gt": 1}, ["tag:b"]),
-    ("WIN NOW!!! Only 5€ or $10", {}, {"punct:!": 3, "sym:€": 1, "sym:$": 1, "caps:": 2}, []),
-    ("ab！cd", {}, {"w:ab": 1, "w:cd": 1}, ["punct:!", "w2:ab_cd"]),
-    ("via​gra", {}, {"w:viagra": 1}, []),
-    ("l'agence a répondu", {}, {"w:agence": 1, "w:répondu": 1}, ["w:l", "w:a", "w2:agence_répondu"]),
-    ("free-seo", {}, {"w2:free_seo": 1}, []),
-    ("see https://x.com. Now", {}, {"w2:see_now": 1}, []),
-    ("merci.bonjour", {}, {"host:merci.bonjour": 1}, ["w:merci"]),
-    ("merci.cordialement", {}, {"w:merci": 1}, ["url:"]),
-    ("merci.Cordialement", {}, {"w:merci": 1, "w:cordialement": 1}, ["url:"]),
-    ("x" * 41, {}, {}, ["w:" + "x" * 41]),
-    ("", {}, {}, []),
-    (" \n\t", {}, {}, []),
-    (None, {}, {}, []),
+#: (text, what its bag holds, what it lacks) with default parameters.
+WORDS = [
+    ("Tea tea TEA", {"w:tea": 3, "caps:": 1, "w2:tea_tea": 2}, ["w:TEA", "w:Tea"]),
+    ("crème brûlée / crème brûlée", {"w:crème": 2, "w:brûlée": 2}, []),
+    ("red wine; red wine", {"w2:red_wine": 2}, ["w2:wine_red"]),
+    ("room 42 is free", {"num:2": 1, "w2:is_free": 1}, ["w2:room_is", "w:42"]),
+    ("99999999999999 1", {"num:12": 1, "num:1": 1}, ["num:14"]),
+    ("A4 is B2B, not b2b", {"w:a4": 1, "w:b2b": 2, "caps:": 1}, []),
+    ("we're off", {"w:we": 1, "w:re": 1, "w2:we_re": 1}, []),
+    ("go a way", {"w:go": 1, "w:way": 1}, ["w:a", "w2:go_way"]),
+    ("tom-and_jerry", {"w2:tom_and": 1, "w2:and_jerry": 1}, []),
+    ("end.Start (and) [so] {on}", {"w:end": 1, "w:start": 1}, ["w2:end_start", "w2:start_and"]),
+    ("left\nright", {"w:left": 1}, ["w2:left_right"]),
+    ("left\tright", {"w2:left_right": 1}, []),
+    ("y" * 40 + " " + "z" * 41, {"w:" + "y" * 40: 1}, ["w:" + "z" * 41]),
+    ("ПРИВЕТ мир", {"w:привет": 1, "caps:": 1, "w2:привет_мир": 1}, []),
 ]
-HOSTILE = ["a." * 25000, "a-." * 17000, "www." + "a-" * 25000, "a@" * 25000, "x@" + "a." * 25000, "<a " * 17000, "&amp;" * 10000, "!" * 100000]
-
-
-def test_cases(spark):
-    by = {}
-    for k, (text, options, _, _) in enumerate(CASES):
-        by.setdefault(ExtractParams(**options), []).append((k, text))
-    got = {}
-    for params, rows in by.items():
-        bag = fx.bags(spark.createDataFrame(rows, "doc_id long, text string"), params=params)
-        for r in bag.collect():
-            got.setdefault(r["doc_id"], {})[r["feature"]] = r["cnt"]
-    for k, (text, _, there, absent) in enumerate(CASES):
-        bag = got.get(k, {})
+MARKS = [
+    ("Stop! Now!! £3 and ¥4", {"punct:!": 3, "sym:£": 1, "sym:¥": 1}, []),
+    ("what？really！", {"w:what": 1, "w:really": 1}, ["punct:!", "w2:what_really"]),
+    ("one…two", {"w:one": 1, "w:two": 1}, ["w2:one_two"]),
+    ("dis​count co­operate", {"w:discount": 1, "w:cooperate": 1}, []),
+    ("ﬁne ２０", {"w:fine": 1, "num:2": 1}, []),
+    ("salt &amp; pepper &Eacute;t&eacute; &#x263A;", {"w:été": 1, "w:salt": 1}, ["w:amp"]),
+    ("&amp;gt;&amp;copy;", {"w:gt": 1, "w:copy": 1}, []),
+]
+LINKS = [
+    ("Look at HTTP://WWW.Old-Shop.example.org/new/Hats.html?c=3#top please", {"url:": 1, "tld:org": 1, "path:new": 1, "path:hats": 1, "path:html": 1, "w2:at_please": 1}, ["w:shop", "path:c", "path:top"]),
+    ("from www.a-b.example:8443/x%20y", {"url:": 1, "host:a-b.example": 1, "path:x": 1, "path:20y": 1}, []),
+    ("ask docs.example.net. Then rest.example.net/api!", {"url:": 2, "host:docs.example.net": 1, "host:rest.example.net": 1, "tld:net": 2, "path:api": 1}, ["punct:!"]),
+    ("mine (foo.example) yours", {"host:foo.example": 1, "w:mine": 1}, ["w2:mine_yours"]),
+    ("open http://ann@site.example/p now", {"host:site.example": 1, "w2:open_now": 1}, ["mail:site.example"]),
+    ("http://site.example:99x/p", {"url:": 1}, ["host:site.example", "path:p"]),
+    ("go to Site.Example or site.Example", {"w:site": 2}, ["url:"]),
+    ("file.extensionlonger and a.b1", {"w:file": 1}, ["url:"]),
+    ("x@y.example is no link; -y.example neither", {"mail:y.example": 1}, ["url:"]),
+]
+MAILS = [
+    ("write to Ann_B.c+list@Mail.Example.ORG today", {"mail:": 1, "mail:mail.example.org": 1, "w2:to_today": 1}, ["w:ann", "url:"]),
+    ("p@q.example_r@s.example", {"mail:": 2, "mail:q.example": 1, "mail:s.example": 1}, []),
+    ("me@host and @name", {"w:me": 1, "w:host": 1, "w:name": 1}, ["mail:"]),
+]
+TAGS = [
+    ("<P Class='x'>bold</ p ><hr/>", {"tag:p": 2, "tag:hr": 1, "w:bold": 1}, ["w:class"]),
+    ("big <u\n>under</u> line", {"tag:u": 2, "w2:big_under": 1, "w2:under_line": 1}, []),
+    ("<blink a='1'>old</blink><em>new</em>", {"tag:em": 2, "w:blink": 2}, ["tag:blink"]),
+    ("<wrap <em> in>", {"w:wrap": 1, "w:em": 1}, ["tag:em"]),
+    ("5 < 6 and 7 > 3; <- and ->", {"w:and": 2}, ["tag:and"]),
+    ("Bob <bob@post.example> on <www.post.example/a>", {"mail:post.example": 1, "host:post.example": 1}, ["tag:bob"]),
+]
+NOTHING = ["", " \r\n\t", None, "​", "-- // ''"]
+#: (text, parameters, what its bag holds, families it lacks).
+GRAMS = [
+    ("cat", {"char_ngrams": "all", "min_ngram": 2, "max_ngram": 4}, {"c2:_c": 1, "c2:at": 1, "c2:t_": 1, "c3:cat": 1, "c4:_cat": 1, "c4:cat_": 1, "w:cat": 1}, ["c5"]),
+    ("i 77", {"char_ngrams": "all", "min_ngram": 3, "max_ngram": 5}, {"c3:_i_": 1, "num:2": 1}, ["c4", "w"]),
+    ("東京 tower ไทย", {"min_ngram": 2, "max_ngram": 2}, {"c2:_東": 1, "c2:東京": 1, "c2:京_": 1, "w:東京": 1, "c2:ไท": 1, "w:tower": 1}, ["c3"]),
+    ("水", {}, {"c2:_水": 1, "c2:水_": 1, "c3:_水_": 1}, ["c4", "w"]),
+    ("東京 tower", {"char_ngrams": "none"}, {"w:東京": 1, "w2:東京_tower": 1}, ["c2", "c3", "c4"]),
+    ("one two", {"word_bigrams": False}, {"w:one": 1, "w:two": 1}, ["w2"]),
+    ("a bc def", {"min_word": 1, "max_word": 2}, {"w:a": 1, "w:bc": 1, "w2:a_bc": 1}, ["c2"]),
+]
+#: Shapes on which patterns recurse, or start again from every character: label chains, marks without an end, runs.
+HOSTILE = ["q-" * 30_000, "z.y-" * 20_000, "http://" * 9_000, "b@b." * 18_000, "@" * 60_000, "</" * 30_000 + "<p", "<b " * 20_000 + ">", "&lt;" * 12_000, "(" * 80_000, "é" * 50_000, "w" * 90_000]
+
+
+def bags(spark, rows, **options):
+    got = {k: {} for k, _ in rows}
+    for r in fx.bags(spark.createDataFrame(rows, "doc_id long, text string"), params=ExtractParams(**options)).collect():
+        got[r["doc_id"]][r["feature"]] = r["cnt"]
+    return got
+
+
+def test_texts(spark):
+    cases = WORDS + MARKS + LINKS + MAILS + TAGS
+    got = bags(spark, list(enumerate(c[0] for c in cases)))
+    for k, (text, there, absent) in enumerate(cases):
+        assert {f: got[k].get(f) for f in there} == there, (text, got[k])
+        assert not set(absent) & set(got[k]), (text, got[k])
+    assert not any(bags(spark, list(enumerate(NOTHING))).values())
+
+
+def test_parameters(spark):
+    for text, options, there, absent in GRAMS:
+        bag = bags(spark, [(0, text)], **options)[0]
         assert {f: bag.get(f) for f in there} == there, (text, bag)
-        assert not set(absent) & set(bag), (text, bag)
-        if not there and not absent:
-            assert not bag
+        assert not {f.split(":")[0] for f in bag} & set(absent), (text, bag)
 
 
-def test_order_and_columns_are_kept(spark):
-    rows = spark.createDataFrame([(1, "bb", "kept")], "doc_id long, text string, other string")
-    assert fx.feature_arrays(rows).first().asDict() == {"doc_id": 1, "text": "bb", "other": "kept", "features": ["w:bb"]}
-    bag = {r["feature"]: (r["cnt"], r["ord"]) for r in fx.bags(spark.createDataFrame([(1, "bb aa bb")], "doc_id long, text string")).collect()}
-    assert bag == {"w:bb": (2, 0), "w:aa": (1, 1), "w2:bb_aa": (1, 2), "w2:aa_bb": (1, 4)}
+def test_a_bag_holds_nothing_else(spark):
+    text = "Mail me@x.example or see http://x.example/a. I paid $5 to ACME!"
+    want = {"mail:": 1, "mail:x.example": 1, "url:": 1, "host:x.example": 1, "tld:example": 1, "path:a": 1, "punct:!": 1, "sym:$": 1, "num:1": 1, "caps:": 1}
+    words = ["mail", "or", "see", "paid", "to", "acme"]
+    want |= {f"w:{w}": 1 for w in words} | {"w2:mail_or": 1, "w2:or_see": 1, "w2:to_acme": 1}
+    assert bags(spark, [(0, text)])[0] == want
+
+
+def test_order_columns_and_texts_without_features(spark):
+    rows = spark.createDataFrame([(1, "bb aa! bb", "x"), (2, "?", "y"), (3, None, "z")], "doc_id long, text string, other string")
+    got = sorted((tuple(r) for r in fx.met(rows, "doc_id", "other").collect()), key=lambda r: r[2])
+    assert [r[3] for r in got] == ["punct:!", "w:bb", "w:aa", "w2:bb_aa", "w:bb"] and {r[:2] for r in got} == {(1, "x")}
+    outer = fx.met(rows, "doc_id", "other", outer=True).collect()
+    assert {r["doc_id"] for r in outer} == {1, 2, 3} and sum(r["feature"] is not None for r in outer) == 5
+    assert fx.met(rows, "doc_id", "other").columns == ["doc_id", "other", "ord", "feature"]
+    firsts = {r["feature"]: r["ord"] for r in fx.bags(rows).collect()}
+    assert sorted(firsts, key=firsts.get) == ["punct:!", "w:bb", "w:aa", "w2:bb_aa"]
 
 
 def test_hostile_texts(spark):
-    rows = [(k, t + " free SEO audit") for k, t in enumerate(HOSTILE)]
-    got = {}
-    for r in fx.bags(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got.setdefault(r["doc_id"], set()).add(r["feature"])
-    assert len(got) == len(HOSTILE)
-    assert all({"w:free", "w2:free_seo"} <= f for f in got.values())
-    assert "pcre:" in got[0]
+    rows = [(k, f"{t} plain words follow") for k, t in enumerate(HOSTILE)]
+    got = bags(spark, rows)
+    assert all({"w:words", "w2:words_follow"} <= set(got[k]) for k, _ in rows)
+    assert "pcre:" in got[1]
 
 
 def test_entities_are_decoded_once():
-    assert decode_entities("&amp;lt; &eacute; &#x41; &#65; &copy &nosuch; &#0;") == "&lt; é A A &copy &nosuch; &#0;"
+    assert decode_entities("&amp;quot; &Auml; &#x2f; &#47; &reg &unknown; &#8;") == "&quot; Ä / / &reg &unknown; &#8;"
+
 
+def test_fixed_values_and_params():
+    import re
 
-def test_names_and_params():
     assert len(HTML_ELEMENTS) == len(set(HTML_ELEMENTS)) == 117
+    assert all(re.fullmatch(f"[{''.join(f'{chr(92)}U{int(x, 16):08X}' for x in re.findall('{([0-9A-F]+)}', chars(CLAUSE_ENDS)))}]", c) for c in CLAUSE_ENDS)
     with pytest.raises(ValueError):
         ExtractParams(char_ngrams="some")
 

@@ -22,19 +22,25 @@ HTML_ELEMENTS = (
     "textarea tfoot th thead time title tr track tt u ul var video wbr"
 ).split()
 
-# Characters that take no room.
-INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0xFEFF, 0xAD)))
-# Currency signs that are features.
+# Characters that take no room, by code point.
+INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0xFEFF)))
+# Currency signs that are features, marks that end a clause, scripts written without spaces.
 CURRENCY = "€$£¥₹"
+CLAUSE_ENDS = ".,;:!?()[]{}\"«»\r\n"
+UNSPACED_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Khmer", "Lao", "Myanmar")
+
+
+def chars(some: str) -> str:
+    """Characters as members of a class in a regular expression."""
+    return "".join(f"\\x{{{ord(c):X}}}" for c in some)
+
 
 #: White space as Unicode has it; Java's \s is ASCII.
 SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"\p{L}\p{N}_"
-
-#: What ends a clause.
-CLAUSE_MARKS = r"""[.,;:!?()\[\]{}"\u00AB\u00BB\r\n]+"""
+CLAUSE_MARKS = f"[{chars(CLAUSE_ENDS)}]+"
 LETTERS = r"[\p{L}\p{N}]+"
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsKhmer}\p{IsLao}\p{IsMyanmar}]"
+UNSPACED = "[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED_SCRIPTS) + "]"
 
 #: Characters that NFKC cannot change: texts of these only skip the normaliser.
 _STABLE = (

@@ -1,13 +1,15 @@
 """Feature extraction: texts to bags of typed features.
 
-Everything but character references, NFKC and the XXH3 hash is built from Spark's
-own string and array functions. Links, mail addresses and tags are taken out
-first (each leaves a space), then marks are counted, then words, numbers,
-capitals, word pairs and character n-grams are read clause by clause.
-
-Repetitions in the link and mail grammars are bounded, as labels of host names
-are: Java's regular expressions would otherwise recurse or rescan without end on
-hostile texts. A text that goes beyond the bounds gets the feature ``pcre:``.
+Everything but character references, NFKC and the XXH3 hash is built from Spark's own
+string functions. Links, mail addresses and tags are taken out of a text first (each
+leaves a space) and marks are counted; what is left is split into clauses, clauses into
+words, and each word gives its features. A text, a clause, a word and a feature are each
+one row of a chain of generators, so the work on words runs as compiled code, and no row
+moves between tasks.
+
+Repetitions in the grammar are bounded, as labels of host names are: Java's regular
+expressions would otherwise recurse or rescan without end on hostile texts. A text that
+goes beyond the bounds gets the feature ``pcre:``.
 """
 
 from __future__ import annotations
@@ -18,143 +20,170 @@ from pyspark.sql import functions as F
 from ..functions.hashing import feature_hash
 from ..functions.shared import spread
 from ..functions.ship import ship
-from ..functions.text import CLAUSE_MARKS, CURRENCY, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, entities_decoded, nfkc, visible
+from ..functions.text import CLAUSE_MARKS, CURRENCY, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, chars, entities_decoded, nfkc, visible
 from ..params import ExtractParams
 
-#: Longest host label and most labels but one.
-_LABEL, _LABELS = 62, 126
-_IN_LINK = rf"""[^{SPACE}<>"'()\[\]]"""
-
-EXPLICIT_LINK = rf"(?i:https?://|www\.){_IN_LINK}++"
-BARE_DOMAIN = (
-    rf"(?<![{WORD}@.-])[a-z0-9][a-z0-9-]{{0,{_LABEL}}}(?:\.[a-z0-9][a-z0-9-]{{0,{_LABEL}}}){{0,{_LABELS}}}\.[a-z]{{2,10}}"
-    rf"""(?=\z|[{SPACE}.,;:!?)\]"'<>/])(?:/{_IN_LINK}*+)?"""
-)
-LINK = f"{EXPLICIT_LINK}|{BARE_DOMAIN}"
-MAIL = rf"(?:(?<![{WORD}.+-])|\G)[{WORD}.+-]++@([A-Za-z0-9][A-Za-z0-9-]{{0,{_LABEL}}}(?:\.[A-Za-z0-9][A-Za-z0-9-]{{0,{_LABEL}}}){{1,{_LABELS}}})"
-_TAG_HEAD = rf"<[{SPACE}]*+/?[{SPACE}]*+"
-_TAG_TAIL = rf"(?=[{SPACE}/>])[^>]*+>"
-ANY_TAG = rf"{_TAG_HEAD}([A-Za-z][A-Za-z0-9]*+){_TAG_TAIL}"
-#: A tag of another name is consumed and put back, so what stands inside it is not read as a tag.
-KNOWN_TAG = rf"({_TAG_HEAD}(?!(?i:{'|'.join(HTML_ELEMENTS)}){_TAG_TAIL})[A-Za-z][A-Za-z0-9]*+{_TAG_TAIL})|{ANY_TAG.replace('(', '(?:', 1)}"
-_RUN = "[A-Za-z0-9-]"
-_BEYOND = rf"(?<!{_RUN})(?:{_RUN}{{{_LABEL + 2},}}+\.|(?:{_RUN}{{1,{_LABEL + 1}}}+\.){{{_LABELS + 1}}})|\.{_RUN}{{{_LABEL + 2},}}+"
-
-
+# What the grammar of links, mail addresses and tags is made of. White space
+# ends a link too, and may follow a domain; a word character may not stand before one.
+LINK_STARTS = ("http://", "https://", "www.")
+LINK_ENDS = "<>\"'()[]"
+LINK_TRIMS = ".,;:!?"
+DOMAIN_FOLLOWS = ".,;:!?)]\"'<>/"
+NOT_BEFORE_DOMAIN = "@.-"
+SHORTEST_SUFFIX, LONGEST_SUFFIX = 2, 10
+LOCAL_PART = ".+-"
 
+#: Characters of a host label behind its first, and labels of a host name (but one), at most.
+LABEL, LABELS = 62, 126
 
-def _empty() -> Column:
-    return F.array().cast("array<string>")
-
-
-def link_features(link: Column) -> Column:
-    """url:, host:, tld: and path: features of one matched link."""
-    url = F.regexp_replace(link, r"[.,;:!?]+\z", "")
-    url = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://"), url).otherwise(F.concat(F.lit("http://"), url))
-    authority = F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)
-    named = F.regexp_replace(authority, "^.*@", "")
-    host = ascii_lower(F.regexp_replace(F.regexp_replace(named, r":[0-9]*\z", ""), r"^www\.", ""))
-    whole = ~named.rlike(r":[0-9]*[^0-9:][^:]*\z") & (F.regexp_replace(named, r":[0-9]*\z", "") != "")
-    path = ascii_lower(F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1))
-    steps = F.transform(F.regexp_extract_all(path, F.lit(LETTERS), 0), lambda w: F.concat(F.lit("path:"), w))
-    hosts = F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("tld:"), F.substring_index(host, ".", -1)))
-    return F.concat(F.array(F.lit("url:")), F.when(whole, F.concat(hosts, steps)).otherwise(_empty()))
 
+def _labels(first: str, least: int) -> str:
+    """Labels of a host name, each with its dot; a label starts with a letter or digit."""
+    return rf"(?:[{first}][{first}-]{{0,{LABEL}}}\.){{{least},{LABELS + 1}}}"
 
-def _ngrams(word: Column, p: ExtractParams) -> Column:
-    padded = F.concat(F.lit("_"), word, F.lit("_"))
-    sizes = F.filter(F.array(*[F.lit(n) for n in range(p.min_ngram, p.max_ngram + 1)]), lambda n: n <= F.char_length(padded))
-    one = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(padded) - n + 1), lambda i: F.concat(F.lit("c"), n.cast("string"), F.lit(":"), padded.substr(i, n)))
-    return F.flatten(F.transform(sizes, one))
 
+_IN_LINK = rf"[^{SPACE}{chars(LINK_ENDS)}]"
+_ADDRESSED = "|".join(rf"\Q{start}\E" for start in LINK_STARTS)
+_DOMAIN = rf"(?<![{WORD}{chars(NOT_BEFORE_DOMAIN)}]){_labels('a-z0-9', 1)}[a-z]{{{SHORTEST_SUFFIX},{LONGEST_SUFFIX}}}(?![^{SPACE}{chars(DOMAIN_FOLLOWS)}])"
+LINK = rf"(?i:{_ADDRESSED}){_IN_LINK}++|{_DOMAIN}(?:/{_IN_LINK}*+)?"
 
-def _wants_ngrams(word: Column, p: ExtractParams, unspaced: Column) -> Column:
-    return {"none": F.lit(False), "all": F.lit(True), "unspaced": unspaced & word.rlike(UNSPACED)}[p.char_ngrams]
+# a local part starts where none of its characters stands before, or where the last address ended
+_LOCAL = rf"[{WORD}{chars(LOCAL_PART)}]"
+MAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@({_labels('A-Za-z0-9', 1)}[A-Za-z0-9][A-Za-z0-9-]{{0,{LABEL}}})"
 
+_HEAD, _TAIL = rf"<[{SPACE}]*+/?[{SPACE}]*+", rf"(?=[{SPACE}/>])[^>]*+>"
+TAG = rf"{_HEAD}([A-Za-z][A-Za-z0-9]*+){_TAIL}"
+#: A tag of another name is matched as a whole and put back, so what stands inside it is not read as a tag.
+_KNOWN = "|".join(HTML_ELEMENTS)
+TAG_OR_OTHER = rf"({_HEAD}(?!(?i:{_KNOWN}){_TAIL})[A-Za-z][A-Za-z0-9]*+{_TAIL})|{_HEAD}[A-Za-z][A-Za-z0-9]*+{_TAIL}"
 
-def clause_features(clause: Column, p: ExtractParams, unspaced: Column | None = None) -> Column:
-    """Features of one clause in the order of its words. unspaced: whether the text has any character of such a script."""
-    has = F.lit(True) if unspaced is None else unspaced
-    number = lambda w: w.rlike(r"^\p{N}+\z")
+_RUN = "[A-Za-z0-9-]"
+_BEYOND = rf"(?<!{_RUN})(?:{_RUN}{{{LABEL + 2},}}+\.|(?:{_RUN}{{1,{LABEL + 1}}}+\.){{{LABELS + 1}}})|\.{_RUN}{{{LABEL + 2},}}+"
 
-    def of_words(parts: Column) -> Column:
-        words, lows, kept = parts["words"], parts["lows"], parts["kept"]
+#: A feature's place: clause, word and feature in so many bits.
+_WORD_BITS, _FEATURE_BITS = 24, 16
 
-        def one(w: Column, i: Column) -> Column:
-            low, own_kept = F.get(lows, i), F.get(kept, i)
-            capitals = F.when((w != low) & (F.char_length(w) >= 3) & (w == F.upper(w)), F.array(F.lit("caps:"))).otherwise(_empty())
-            own = F.when(own_kept, F.array(F.concat(F.lit("w:"), low))).otherwise(_empty())
-            pair = F.concat(F.lit("w2:"), F.get(lows, i - 1), F.lit("_"), low)
-            pairs = F.when(own_kept & (i > 0) & F.coalesce(F.get(kept, i - 1), F.lit(False)), F.array(pair)).otherwise(_empty()) if p.word_bigrams else _empty()
-            grams = _empty() if p.char_ngrams == "none" else F.when(_wants_ngrams(low, p, has), _ngrams(low, p)).otherwise(_empty())
-            count = F.array(F.concat(F.lit("num:"), F.least(F.char_length(w), F.lit(12)).cast("string")))
-            return F.when(~own_kept & number(w), count).otherwise(F.concat(capitals, own, pairs, grams))
 
-        return F.flatten(F.transform(words, one))
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
-    # each array is bound once, as an array of one struct, so it is not made again for each use
-    kept = lambda w: F.char_length(w).between(p.min_word, p.max_word) & ~number(w)
-    bound = F.transform(F.array(F.regexp_extract_all(clause, F.lit(LETTERS), 0)), lambda ws: F.struct(ws.alias("words"), F.transform(ws, lambda w: F.lower(w)).alias("lows"), F.transform(ws, kept).alias("kept")))
-    return F.flatten(F.transform(bound, of_words))
 
+def link_features(link: Column) -> Column:
+    """url:, host:, tld: and path: features of one matched link."""
+    url = F.regexp_replace(link, rf"[{chars(LINK_TRIMS)}]+\z", "")
+    url = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://"), url).otherwise(F.concat(F.lit("http://"), url))
+    rest = F.substring(url, F.locate("://", url) + 3, F.char_length(url))
+    authority = F.regexp_extract(rest, "^[^/?#]*", 0)
+    named = F.substring_index(authority, "@", -1)
+    port = F.regexp_extract(named, r":[0-9]*\z", 0)
+    bare = F.left(named, F.char_length(named) - F.char_length(port))
+    host = ascii_lower(F.when(bare.startswith("www."), F.substring(bare, F.lit(5), F.char_length(bare))).otherwise(bare))
+    path = ascii_lower(F.regexp_extract(rest, "^[^/?#]*(/[^?#]*)", 1))
+    steps = F.transform(F.regexp_extract_all(path, F.lit(LETTERS), 0), lambda w: F.concat(F.lit("path:"), w))
+    hosts = F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("tld:"), F.substring_index(host, ".", -1)))
+    # a port that is not a number leaves no host
+    whole = (bare != "") & ~named.rlike(r":[0-9]*[^0-9:][^:]*\z")
+    return F.concat(F.array(F.lit("url:")), F.when(whole, F.concat(hosts, steps)).otherwise(_none()))
 
-def feature_arrays(texts: DataFrame, text: str = "text", params: ExtractParams | None = None) -> DataFrame:
-    """``texts`` with ``features``: array of features in the order they are met, with repeats.
 
-    A null text counts as empty and has none.
-    """
-    p = params or ExtractParams()
-    ship(texts.sparkSession)
+def _items(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` with ``__items``: structs of (whole, part), features met before words (whole) and clauses; and ``__unspaced``."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = spread(texts).withColumn("__t", visible(entities_decoded(t)))
     df = df.withColumn("__links", F.regexp_extract_all("__t", F.lit(LINK), 0))
-    df = df.withColumn("__pcre", F.when(F.col("__t").rlike(_BEYOND) | ~F.is_valid_utf8(t), F.array(F.lit("pcre:"))).otherwise(_empty()))
+    df = df.withColumn("__pcre", F.when(F.col("__t").rlike(_BEYOND) | ~F.is_valid_utf8(t), F.array(F.lit("pcre:"))).otherwise(_none()))
     df = df.withColumn("__t", F.when(F.size("__links") > 0, F.regexp_replace("__t", LINK, " ")).otherwise(F.col("__t")))
-    at = F.col("__t").contains("@")
-    df = df.withColumn("__mails", F.when(at, F.regexp_extract_all("__t", F.lit(MAIL), 1)).otherwise(_empty()))
+    df = df.withColumn("__mails", F.when(F.col("__t").contains("@"), F.regexp_extract_all("__t", F.lit(MAIL), 1)).otherwise(_none()))
     df = df.withColumn("__t", F.when(F.size("__mails") > 0, F.regexp_replace("__t", MAIL, " ")).otherwise(F.col("__t")))
     angle = F.col("__t").contains("<") & F.col("__t").contains(">")
-    tags = F.filter(F.transform(F.regexp_extract_all("__t", F.lit(ANY_TAG), 1), ascii_lower), lambda n: F.array_contains(F.array(*map(F.lit, HTML_ELEMENTS)), n))
-    df = df.withColumn("__tags", F.when(angle, tags).otherwise(_empty()))
-    df = df.withColumn("__t", F.when(F.size("__tags") > 0, F.regexp_replace("__t", KNOWN_TAG, "$1 ")).otherwise(F.col("__t")))
-    df = df.withColumn("__marks", F.array_repeat(F.lit("punct:!"), F.regexp_count("__t", F.lit("!"))))
-    df = df.withColumn("__signs", F.transform(F.regexp_extract_all("__t", F.lit(f"[{CURRENCY}]"), 0), lambda c: F.concat(F.lit("sym:"), c)))
-    df = df.withColumn("__t", nfkc(F.col("__t")))
-    clauses = F.filter(F.split("__t", CLAUSE_MARKS), lambda c: c != "")
-    # bound as a lambda's variable: the optimizer would copy a column's expression to where each word reads it
-    unspaced = (F.octet_length("__t") > F.char_length("__t")) & F.col("__t").rlike(UNSPACED)
-    words = F.flatten(F.transform(F.array(unspaced), lambda u: F.flatten(F.transform(clauses, lambda c: clause_features(c, p, u)))))
+    tags = F.filter(F.transform(F.regexp_extract_all("__t", F.lit(TAG), 1), ascii_lower), lambda n: F.array_contains(F.array(*map(F.lit, HTML_ELEMENTS)), n))
+    df = df.withColumn("__tags", F.when(angle, tags).otherwise(_none()))
+    df = df.withColumn("__t", F.when(F.size("__tags") > 0, F.regexp_replace("__t", TAG_OR_OTHER, "$1 ")).otherwise(F.col("__t")))
     links = F.flatten(F.transform("__links", link_features))
     mails = F.flatten(F.transform("__mails", lambda m: F.array(F.lit("mail:"), F.concat(F.lit("mail:"), ascii_lower(m)))))
     named = F.transform("__tags", lambda n: F.concat(F.lit("tag:"), n))
-    every = F.concat("__pcre", links, mails, named, "__marks", "__signs", words)
-    return df.withColumn("features", every).drop("__t", "__links", "__pcre", "__mails", "__tags", "__marks", "__signs")
+    marks = F.array_repeat(F.lit("punct:!"), F.regexp_count("__t", F.lit("!")))
+    signs = F.transform(F.regexp_extract_all("__t", F.lit(f"[{CURRENCY}]"), 0), lambda c: F.concat(F.lit("sym:"), c))
+    df = df.withColumn("__before", F.concat("__pcre", links, mails, named, marks, signs)).withColumn("__t", nfkc(F.col("__t")))
+    clauses = F.filter(F.split("__t", CLAUSE_MARKS), lambda c: c != "")
+    item = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), part.alias("part"))
+    df = df.withColumn("__items", F.concat(F.transform("__before", item(True)), F.transform(clauses, item(False))))
+    return df.withColumn("__unspaced", (F.octet_length("__t") > F.char_length("__t")) & F.col("__t").rlike(UNSPACED))
 
 
-def occurrences(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
-    """doc_id, ord, feature: a row for each time a feature is met. No shuffle."""
-    return met(texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", params=params)
+def _gram(padded: Column, k: Column, p: ExtractParams) -> Column:
+    """The k-th character n-gram of a padded word, shorter ones first."""
+    out, before = None, F.lit(0)
+    for n in range(p.min_ngram, p.max_ngram + 1):
+        many = F.greatest(F.char_length(padded) - (n - 1), F.lit(0))
+        one = F.concat(F.lit(f"c{n}:"), padded.substr(k - before + 1, F.lit(n)))
+        out = F.when(k < before + many, one) if out is None else out.when(k < before + many, one)
+        before = before + many
+    return out
+
 
+def _grams(word: Column, p: ExtractParams) -> Column:
+    """Number of character n-grams of a word, padded at both ends."""
+    return sum((F.greatest(F.char_length(word) + 2 - (n - 1), F.lit(0)) for n in range(p.min_ngram, p.max_ngram + 1)), F.lit(0))
 
-def met(texts: DataFrame, *keep: str, text: str = "text", params: ExtractParams | None = None) -> DataFrame:
-    """The columns ``keep``, ord and feature: a row for each time a feature is met.
 
-    The outer form of explode is used since the optimizer puts a filter on the array's
-    size before the other one, and would extract every text twice for it.
+def met(texts: DataFrame, *keep: str, text: str = "text", params: ExtractParams | None = None, outer: bool = False) -> DataFrame:
+    """The columns ``keep``, ord and feature: a row for each time a feature is met; ord rises in the order of the text.
+
+    A null text counts as empty. A text without features gives no row. With ``outer`` every
+    text gives one at least, if need be one whose feature is null. The outer form of explode is used throughout, since for
+    the other one the optimizer filters on the array first, and would extract twice.
     """
-    arrays = feature_arrays(texts.select(*keep, text), text, params)
-    return arrays.select(*keep, F.posexplode_outer("features").alias("ord", "feature")).where("feature IS NOT NULL")
+    p = params or ExtractParams()
+    ship(texts.sparkSession)
+    base = texts.select(F.struct(*keep).alias("__keep"), F.col(text).alias("__text"))
+    df = _items(base, "__text").select("__keep", "__unspaced", F.posexplode_outer("__items").alias("__i", "__item"))
+    words = F.when(F.col("__item.whole"), F.array("__item.part")).otherwise(F.regexp_extract_all("__item.part", F.lit(LETTERS), 0))
+    df = df.select("__keep", "__unspaced", "__i", F.col("__item.whole").alias("__whole"), words.alias("__words"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "__words"), F.lit(1), F.greatest(F.size("__words"), F.lit(0)))
+    df = df.select("__keep", "__unspaced", "__i", "__whole", F.posexplode_outer(F.arrays_zip(F.col("__words").alias("w"), before.alias("b"))).alias("__j", "__pair"))
+    w, b = F.col("__pair.w"), F.col("__pair.b")
+    number = lambda x: x.rlike(r"^\p{N}+\z")
+    kept = lambda x: F.char_length(x).between(p.min_word, p.max_word) & ~number(x)
+    low, whole = F.lower(w), F.coalesce("__whole", F.lit(True))
+    df = df.select("__keep", "__unspaced", "__i", "__j", w.alias("__w"), low.alias("__low"), whole.alias("__whole"), (~whole & kept(w)).alias("__kept"), F.when(~whole & kept(b), F.lower(b)).alias("__b"))
+    w, low, kept_, whole = F.col("__w"), F.col("__low"), F.col("__kept"), F.col("__whole")
+    shape = F.when(whole, w).when(~kept_ & number(w), F.concat(F.lit("num:"), F.least(F.char_length(w), F.lit(12)).cast("string")))
+    shape = shape.when((w != low) & (F.char_length(w) >= 3) & (w == F.upper(w)), F.lit("caps:"))
+    slots = [shape, F.when(kept_, F.concat(F.lit("w:"), low))]
+    if p.word_bigrams:
+        slots.append(F.when(kept_ & F.col("__b").isNotNull(), F.concat(F.lit("w2:"), "__b", F.lit("_"), low)))
+    if p.char_ngrams == "none":
+        df = df.select("__keep", "__i", "__j", F.posexplode(F.array(*slots)).alias("__k", "feature"))
+    else:
+        wants = ~whole & ~number(low) if p.char_ngrams == "all" else F.col("__unspaced") & ~whole & low.rlike(UNSPACED) & ~number(low)
+        last = F.when(wants, F.lit(len(slots) - 1) + _grams(low, p)).otherwise(F.lit(len(slots) - 1))
+        df = df.select("*", F.explode_outer(F.sequence(F.lit(0), last)).alias("__k"))
+        k = F.col("__k")
+        feature = _gram(F.concat(F.lit("_"), low, F.lit("_")), k - len(slots), p)
+        for n, one in reversed(list(enumerate(slots))):
+            feature = F.when(k == n, one).otherwise(feature)
+        df = df.select("__keep", "__i", "__j", "__k", F.explode(F.array(feature)).alias("feature"))
+    place = F.shiftleft(F.coalesce("__i", F.lit(0)).cast("long"), _WORD_BITS + _FEATURE_BITS) + F.shiftleft(F.coalesce("__j", F.lit(0)).cast("long"), _FEATURE_BITS) + F.col("__k")
+    first = place == 0  # the first slot of every text, empty or not
+    df = df.where(F.col("feature").isNotNull() | first if outer else F.col("feature").isNotNull())
+    return df.select("__keep.*", place.alias("ord"), "feature")
+
+
+def occurrences(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
+    """doc_id, ord, feature: a row for each time a feature is met. No shuffle."""
+    return met(texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", params=params)
 
 
 def bags(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None) -> DataFrame:
-    """doc_id, feature, cnt, ord (first place): a row per text and feature."""
+    """doc_id, feature, cnt, ord (of the first place): a row per text and feature."""
     return occurrences(texts, doc_id, text, params).groupBy("doc_id", "feature").agg(F.count("*").alias("cnt"), F.min("ord").alias("ord"))
 
 
 def hashed_bags(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None, mode: str = "xxh3") -> DataFrame:
     """doc_id, h, cnt: features that share a 32-bit hash are added up."""
-    hashed = bags(texts, doc_id, text, params).select("doc_id", feature_hash(F.col("feature"), mode).alias("h"), "cnt")
-    return hashed.groupBy("doc_id", "h").agg(F.sum("cnt").alias("cnt"))
+    hashed = occurrences(texts, doc_id, text, params).select("doc_id", feature_hash(F.col("feature"), mode).alias("h"))
+    return hashed.groupBy("doc_id", "h").agg(F.count("*").alias("cnt"))
 
 
 def family(feature: Column) -> Column:

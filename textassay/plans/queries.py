@@ -363,7 +363,7 @@ def learned_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("label") == "spam", F.lit("ham")).otherwise(F.lit("spam"))
     wrong = rows.where("quality = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), "text", other.alias("label"), F.lit(-1).alias("sign"))
     both = learned.unionByName(wrong).withColumn("archive", F.lit(False))
-    met = fx.feature_arrays(both).select("seq", "label", "sign", "archive", F.explode_outer("features").alias("feature"))
+    met = fx.met(both, "seq", "label", "sign", "archive", outer=True)
     return met.groupBy("seq", "label", "sign", "archive", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("feature").alias("cnt"))
 
 
