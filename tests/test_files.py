@@ -9,7 +9,7 @@ from textassay.cli import main
 from textassay.operators.language import LanguageSet
 from textassay.operators.layers import CountTable
 from textassay.sources import background, codec
-from textassay.sources.catalog import Catalog, CatalogError, local_rows, manifest_rows, outdated_rows
+from textassay.sources.catalog import Catalog, CatalogError, is_code, local_rows, manifest_rows, outdated_rows
 
 from .test_layers import held, layer, table
 
@@ -109,7 +109,7 @@ def test_catalog(spark, release, tmp_path):
     (tmp_path / "to/en.bin").write_bytes(b"old")
     (tmp_path / "to/xx.bin").write_bytes(b"own")
     assert catalog.outdated(to) == {"en": "changed", "xx": "unpublished"}
-    rows = outdated_rows(local_rows(spark, to), manifest_rows(spark, catalog.manifest()))
+    rows = outdated_rows(local_rows(spark, to), manifest_rows(spark, json.loads((folder / "manifest.json").read_text())))
     assert {r["code"]: r["state"] for r in rows.collect()} == {"en": "changed", "xx": "unpublished"}
     assert catalog.update(to) == [f"{to}/en.bin"] and catalog.update(to) == []
     assert (tmp_path / "to/xx.bin").exists()
@@ -124,7 +124,15 @@ def test_catalog_refuses(release, tmp_path):
     for change in ({"sha256": "0" * 64}, {"bytes": 10}, {"bytes": "many"}, {"url": "http://example.org/x"}):
         with pytest.raises(CatalogError):
             write(folder, {"en": languages["en"] | change}).download(["en"], f"{tmp_path}/to")
-    assert not list(tmp_path.glob("to/*.bin"))
+    with pytest.raises(CatalogError):  # the first is right: all or none
+        write(folder, {"en": languages["en"], "fr": languages["fr"] | {"sha256": "0" * 64}}).download(["en", "fr"], f"{tmp_path}/to")
+    junk = b"no table"
+    (folder / "zz.bin").write_bytes(junk)
+    entry = {"url": f"file://{folder}/zz.bin", "bytes": len(junk), "sha256": hashlib.sha256(junk).hexdigest()}
+    with pytest.raises(CatalogError):
+        write(folder, languages | {"zz": entry}).download(["zz"], f"{tmp_path}/to")
+    assert not list(tmp_path.glob("to/*")) and not list(tmp_path.glob("to/.*"))
+    assert [c for c in ("en", "pt-br", "zh_hant", "abc", "e", "abcd", "EN", "en-", "en-x", "en-a-b", "é1", "../x", "en-123456789") if is_code(c)] == ["en", "pt-br", "zh_hant", "abc"]
     with pytest.raises(CatalogError):
         write(folder, languages, hash_version=2).outdated(f"{tmp_path}/to")
     (folder / "manifest.json").write_text("{}")

@@ -5,7 +5,6 @@ from itertools import count
 import pytest
 
 from textassay import EvidenceModel
-from textassay.plans.queries import unlearn_gate
 from textassay.sources.contract import RULES, ContractError, check
 from textassay.sources.snapshot import FileSnapshot
 from textassay.sources.store import ConcurrentWriteError, CountStore, SnapshotCache
@@ -32,6 +31,9 @@ def test_empty_and_identity(spark, store, tmp_path):
     assert CountStore(spark, f"file://{tmp_path}/other").install(10).identity() != store.identity()
     with pytest.raises(ValueError):
         store.install(12)
+    for path in ("", "/", "a/*"):
+        with pytest.raises(ValueError):
+            CountStore(spark, path)
     for bits in (7, 25):
         with pytest.raises(ValueError):
             CountStore(spark, f"file://{tmp_path}/x{bits}").install(bits)
@@ -103,19 +105,20 @@ def test_ordered_events_match_a_literal_fold(spark, tmp_path, seed):
     rng = random.Random(seed)
     store = CountStore(spark, f"file://{tmp_path}/s").install(10)
     first = [{"seq": 0, "label": "ham", "sign": 1, "archive": False, "bag": {1: 3, 2: 1}}]
+    far = rng.choice([1, 10**12])  # numbers need not be dense
     events = first + [
-        {"seq": k, "label": rng.choice(["ham", "spam"]), "sign": rng.choice([1, 1, -1]), "archive": rng.random() < 0.2, "bag": {rng.randrange(2048): rng.randrange(1, 5) for _ in range(rng.randrange(6))} | {1: 1}} for k in range(1, 40)
+        {"seq": k * far, "label": rng.choice(["ham", "spam"]), "sign": rng.choice([1, 1, -1]), "archive": rng.random() < 0.2, "bag": {rng.randrange(2048): rng.randrange(1, 5) for _ in range(rng.randrange(6))} | {1: 1}} for k in range(1, 40)
     ]
     store.apply(bag(spark, first[0]["bag"]), "ham", 1)
     rows = [(e["seq"], h, n, e["label"], e["sign"], e["archive"]) for e in events[1:] for h, n in e["bag"].items()]
     schema = "seq long, h long, cnt long, label string, sign int, archive boolean"
     import textassay.sources.store as module
 
-    chunk, module.CHUNK = module.CHUNK, 7
+    part, module.PART = module.PART, 7
     try:
         store.apply_events(spark.createDataFrame(rows, schema), batch=0)
     finally:
-        module.CHUNK = chunk
+        module.PART = part
     want, texts = literal(events)
     assert held(store) == want
     assert {k: store.meta()[k] for k in texts} == texts
@@ -157,13 +160,6 @@ def test_model_with_store(spark, store):
         model.unlearn(texts, "spam", 2)
 
 
-def test_unlearn_gate(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(5).select("id", unlearn_gate(F.col("id"), 3).alias("o"))
-    assert [r["o"] for r in rows.orderBy("id").collect()] == ["refused", "refused", "archive", "recent", "error"]
-
-
 @pytest.fixture
 def make(spark, tmp_path):
     numbers = count()
@@ -220,6 +216,14 @@ def test_file_snapshot(spark, store, tmp_path):
     os.chmod(path, 0o666)
     assert snapshot.read(spark, store.version(), identity) is None
     assert FileSnapshot(path, strict=False).read(spark, store.version(), identity).total_spam == 4
+    shared = FileSnapshot(f"{path}-shared", strict=False, mode=0o664)
+    shared.write(store.load(), store.version(), identity)
+    assert oct(os.stat(f"{path}-shared").st_mode & 0o777) == "0o664" and shared.read(spark, store.version(), identity).total_spam == 4
+    assert FileSnapshot(f"{path}-shared").read(spark, store.version(), identity) is None
+    FileSnapshot(f"{path}-group", mode=0o640).write(store.load(), store.version(), identity)
+    assert FileSnapshot(f"{path}-group").read(spark, store.version(), identity).total_spam == 4
+    with pytest.raises(ValueError):
+        FileSnapshot(path, mode=0o666)
     os.chmod(path, 0o600)
     os.symlink(path, f"{path}-link")
     assert FileSnapshot(f"{path}-link").read(spark, store.version(), identity) is None

@@ -27,3 +27,19 @@ def test_late_texts_go_to_the_archive(spark, tmp_path):
     learn_batch(store, mode="md5", last_rotation="2025-01-01 00:00:00")(rows, 0)
     meta = store.meta()
     assert (meta["texts_ham"], meta["archive_texts_ham"], meta["learned_ham"]) == (1, 1, 2)
+
+
+def test_a_batch_is_the_fold_of_its_rows(spark, tmp_path):
+    """Rows of one id, of one class or several, equal ones too, each count; learning one by one gives the same store."""
+    rows = [(1, "buy links now", "spam", 1), (1, "buy links now", "spam", 1), (2, "a quote please", "ham", 1), (2, "buy it", "spam", 1), (2, None, "ham", 1), (3, "a quote", "ham", -1), (3, "a quote", "ham", -1), (3, "a quote", "ham", 1)]
+    schema = "doc_id long, text string, label string, sign int"
+    whole, single = (CountStore(spark, f"file://{tmp_path}/{name}").install(12) for name in ("whole", "single"))
+    learn_batch(whole, mode="md5")(spark.createDataFrame(rows, schema).repartition(3), 0)
+    order = sorted(rows, key=lambda r: (r[0], -r[3], r[2], r[1] is not None, r[1] or ""))
+    for k, row in enumerate(order):
+        learn_batch(single, mode="md5")(spark.createDataFrame([row], schema), k)
+    held = lambda s: sorted(map(tuple, s.counts().collect()))
+    assert held(whole) == held(single) and whole.tally() == single.tally() and whole.version() == single.version() == len(rows)
+    twice = CountStore(spark, f"file://{tmp_path}/twice").install(12)
+    learn_batch(twice, mode="md5")(spark.createDataFrame([(7, "one two", "ham", 1)] * 2, schema), 0)
+    assert twice.tally().learned_ham == 2 and twice.load().total_ham == 6

@@ -37,6 +37,17 @@ class Folder:
         finally:
             stream.close()
 
+    def put(self, name: str, data: bytes) -> None:
+        """Write a file, in place of one that stands there: written beside it and moved."""
+        temp = self._path(f".{name.replace('/', '_')}-{uuid.uuid4().hex}")
+        stream = self._fs.create(temp, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        self._fs.delete(self._path(name), False)
+        self._fs.rename(temp, self._path(name))
+
     def create(self, name: str, text: str) -> bool:
         """Write a file that must not exist yet; False if it does."""
         temp = f".{name.replace('/', '_')}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +21,14 @@ def xxh3_32(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) >> 32
 
 
-@F.pandas_udf(T.LongType())
-def _xxh3(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def _xxh3(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each distinct feature of a batch is hashed once; the rows themselves stay in Arrow."""
     from xxhash import xxh3_64_intdigest
 
     for batch in batches:
-        yield pd.Series([xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) >> 32 for f in batch], dtype="int64")
+        coded = batch.cast(pa.binary()).dictionary_encode()
+        yield pa.array([xxh3_64_intdigest(f) >> 32 for f in coded.dictionary.to_pylist()], pa.int64()).take(coded.indices)
 
 
 def feature_hash(feature: Column, mode: str = "xxh3") -> Column:

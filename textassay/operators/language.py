@@ -14,6 +14,8 @@ from .scoring import BROADCAST_ROWS, small, smoothed
 
 #: Entries of all languages together up to which their tables are broadcast (about 100 MB).
 BROADCAST_ENTRIES = 4 * BROADCAST_ROWS
+#: Languages up to which each has a column of gains; beyond, most columns would be empty for most slots.
+COLUMNS = 16
 
 
 @dataclass(frozen=True)
@@ -72,6 +74,24 @@ class LanguageSet:
         base = F.ln(smoothed(F.lit(0), F.col("total"), F.col("size"), self.alpha))
         gain = F.ln(smoothed(F.col("cnt"), F.col("total"), F.col("size"), self.alpha)) - base
         gains = self.tables.join(meta, "lang").where("total > 0").select("lang", "bits", "slot", gain.alias("gain"))
+        texts = self._in_columns(hashed, gains) if len(self.meta) <= COLUMNS else self._in_rows(hashed, gains)
+        langs = [(lang, n, math.log(((self.alpha * t / (1 << b)) / (t * (1 + self.alpha))) if t > 0 else 1 / (1 << b))) for n, (lang, (b, t)) in enumerate(self.meta.items())]
+        every = F.array(*[F.struct(F.lit(k).alias("lang"), F.lit(n).alias("place"), F.lit(x).alias("base")) for k, n, x in langs])
+        tail = texts.select("doc_id", "occ", "won", F.inline(every))
+        return tail.select("doc_id", "lang", "place", (F.col("occ") * F.col("base") + F.coalesce(F.get("won", F.col("place")), F.lit(0.0))).alias("score"))
+
+    def _in_columns(self, hashed: DataFrame, gains: DataFrame) -> DataFrame:
+        """doc_id, occ, won (by place) of a few languages: a column each, so a feature stays one row and a text's sums are one."""
+        rows, sums = hashed, []
+        for bits in sorted({b for b, _ in self.meta.values()}):
+            places = [(n, lang) for n, (lang, (b, _)) in enumerate(self.meta.items()) if b == bits]
+            wide = gains.where(F.col("bits") == bits).groupBy(F.col("slot").alias("__slot")).agg(*[F.max(F.when(F.col("lang") == lang, F.col("gain"))).alias(f"__g{n}") for n, lang in places])
+            rows = rows.join(self._small(wide), slot(F.col("h"), bits) == F.col("__slot"), "left").drop("__slot")
+            sums += [(n, F.coalesce(F.sum(F.col("cnt") * F.col(f"__g{n}")), F.lit(0.0))) for n, _ in places]
+        return rows.groupBy("doc_id").agg(F.sum(F.col("cnt").cast("double")).alias("occ"), F.array(*[s for _, s in sorted(sums, key=lambda x: x[0])]).alias("won"))
+
+    def _in_rows(self, hashed: DataFrame, gains: DataFrame) -> DataFrame:
+        """The same of many languages: a feature brings along the gains that there are."""
         rows, found = hashed, []
         for bits in sorted({b for b, _ in self.meta.values()}):
             per_slot = gains.where(F.col("bits") == bits).groupBy(F.col("slot").alias("__slot")).agg(F.collect_list(F.struct("lang", "gain")).alias(f"__hits{bits}"))
@@ -82,10 +102,7 @@ class LanguageSet:
         sums = rows.select("doc_id", F.inline(F.concat(own, hits))).groupBy("doc_id", "lang").agg(F.sum("x").alias("x"))
         won = F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "x"))))
         texts = sums.groupBy("doc_id").agg(F.max(F.when(F.col("lang").isNull(), F.col("x"))).alias("occ"), won.alias("won"))
-        langs = [(lang, n, math.log(((self.alpha * t / (1 << b)) / (t * (1 + self.alpha))) if t > 0 else 1 / (1 << b))) for n, (lang, (b, t)) in enumerate(self.meta.items())]
-        every = F.array(*[F.struct(F.lit(k).alias("lang"), F.lit(n).alias("place"), F.lit(x).alias("base")) for k, n, x in langs])
-        tail = texts.select("doc_id", "occ", "won", F.inline(every))
-        return tail.select("doc_id", "lang", "place", (F.col("occ") * F.col("base") + F.coalesce(F.try_element_at("won", F.col("lang")), F.lit(0.0))).alias("score"))
+        return texts.select("doc_id", "occ", F.transform(F.array(*map(F.lit, self.meta)), lambda k: F.coalesce(F.try_element_at("won", k), F.lit(0.0))).alias("won"))
 
     def detect(self, hashed: DataFrame, texts: DataFrame) -> DataFrame:
         """doc_id, language for every row of ``texts``: the first of the most likely; the first of all for a text without features."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import CURRENCY, HTML_ELEMENTS
 from ..sources.store import COUNTERS
-from .queries import BITS, LOCAL, MANIFEST, SMALL_BITS
+from .queries import BITS, HAN, LOCAL, MANIFEST, SMALL_BITS
 
 MU, ALPHA, LAM = 10.0, 0.2, 0.5
 MAIL = r"[\p{L}\p{N}_.+-]+@([A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)+)"
@@ -17,13 +17,13 @@ def lower(x: str) -> str:
     return f"translate({x}, '{_UP}', '{_LOW}')"
 
 
-def features(name: str, source: str, key: str, text: str, extra: str = "", grams: bool = False) -> str:
+def features(name: str, source: str, key: str, text: str, extra: str = "", grams: bool | str = False) -> str:
     """CTEs that end in ``name`` (rid, key columns, feature): a row for each time a feature is met."""
     more = f", {extra}" if extra else ""
     n = name
     gram = rf"""
   UNION ALL SELECT rid, 'c' || n || ':' || substr('_' || low || '_', i, n) FROM
-    (SELECT rid, low, n, unnest(range(1, length(low) + 4 - n)) AS i FROM (SELECT rid, low, unnest([2, 3, 4]) AS n FROM {n}_k WHERE NOT num) WHERE length(low) + 2 >= n)""" if grams else ""
+    (SELECT rid, low, n, unnest(range(1, length(low) + 4 - n)) AS i FROM (SELECT rid, low, unnest([2, 3, 4]) AS n FROM {n}_k WHERE NOT num AND {grams if isinstance(grams, str) else "true"}) WHERE length(low) + 2 >= n)""" if grams else ""
     return rf"""
 {n}_0 AS (SELECT row_number() OVER () AS rid, {key}{more}, coalesce({text}, '') AS t FROM {source}),
 {n}_l AS (SELECT *, regexp_extract_all(t, '{LINK}') AS links, regexp_replace(t, '{LINK}', ' ', 'g') AS t1 FROM {n}_0),
@@ -57,6 +57,7 @@ def _link_list(u: str) -> str:
 HASH = "('0x' || substr(md5(feature), 1, 8))::BIGINT"
 DOCS = features("feat", "documents", "doc_id", "text", "lang")
 LABELLED = "(SELECT d.doc_id, d.text, CASE WHEN l.toxic = 1 THEN 'spam' ELSE 'ham' END AS label, l.quality FROM documents d JOIN labels l USING (doc_id))"
+_REPEATS = f"(SELECT doc_id, text, label FROM {LABELLED} UNION ALL SELECT doc_id, text, CASE WHEN label = 'spam' THEN 'ham' ELSE 'spam' END FROM {LABELLED} WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, text, label FROM {LABELLED} WHERE doc_id % 3 = 1)"
 TRAIN = features("train", LABELLED, "doc_id", "text", "label, quality")
 TALKS = features("talk", "conversations", "conv_id || ':' || turn AS doc_id", "text", "role")
 DOC_H = f"dh AS (SELECT doc_id, {HASH} AS h, count(*) AS cnt FROM feat GROUP BY ALL)"
@@ -156,6 +157,13 @@ ORACLES: dict[str, str] = {
     "feat_tlds": _family("link", "tld", f"{_URLS}"),
     "feat_paths": _family("link", "path", f"{_URLS}"),
     "feat_char_ngrams": f"WITH {features('item', 'benchmark', 'item_id', 'text', grams=True)} SELECT feature, count(*) AS occurrences, count(DISTINCT rid) AS texts FROM item WHERE regexp_matches(feature, '^c[234]:') GROUP BY feature",
+    "feat_references": _family("feat", "w", DOCS),
+    "feat_invisible": _family("feat", "w2", DOCS),
+    "feat_compatible": _family("feat", "w", DOCS),
+    "feat_bare_domains": _family("link", "host", f"{_URLS}"),
+    "feat_unspaced_ngrams": "WITH "
+    + features("talk", f"(SELECT conv_id, turn, translate(text, '{_LOW}', '{HAN}') AS text FROM conversations)", "conv_id || ':' || turn AS doc_id", "text", grams=rf"regexp_matches(low, '[\p{{Han}}]')")
+    + " SELECT feature, count(*) AS occurrences, count(DISTINCT rid) AS texts FROM talk WHERE regexp_matches(feature, '^c[234]:') GROUP BY feature",
     "feat_bag": f"WITH {DOCS}, bag AS (SELECT doc_id, feature, count(*) AS cnt FROM feat GROUP BY ALL) SELECT d.doc_id, count(feature) AS features, coalesce(sum(cnt), 0)::BIGINT AS occurrences, coalesce(max(cnt), 0)::BIGINT AS most FROM documents d LEFT JOIN bag USING (doc_id) GROUP BY d.doc_id",
     "feat_family_totals": f"WITH {DOCS} SELECT string_split(feature, ':')[1] AS family, count(DISTINCT feature) AS features, count(*) AS occurrences FROM feat GROUP BY 1",
     "hash_fold_md5": f"WITH {DOCS} SELECT {HASH} & {(1 << SMALL_BITS) - 1} AS slot, count(DISTINCT {HASH}) AS hashes, count(*) AS cnt FROM feat GROUP BY 1",
@@ -207,9 +215,17 @@ SELECT slot, 0::BIGINT AS count_ham, 0::BIGINT AS count_spam, archive_ham, archi
 SELECT * FROM a WHERE count_ham > 0 OR count_spam > 0""",
     "store_tally": f"""WITH {_TEXT_STEPS} SELECT 0::BIGINT AS generation, spam AS recent_spam, ham AS recent_ham, spam AS learned_spam, ham AS learned_ham, steps AS version FROM tt
 UNION ALL SELECT 1, 0, 0, spam, ham, steps + 1 FROM tt""",
-    "store_unlearn_gate": "SELECT doc_id, doc_id % 5 AS learned_in, CASE WHEN doc_id % 5 > 3 THEN 'error' WHEN doc_id % 5 < 2 THEN 'refused' WHEN doc_id % 5 = 3 THEN 'recent' ELSE 'archive' END AS outcome FROM labels",
+    "store_unlearn_gate": f"""WITH {TRAIN}, n AS (SELECT {HASH} & {MASK} AS slot, (count(*) FILTER (label = 'ham'))::BIGINT AS h, (count(*) FILTER (label = 'spam'))::BIGINT AS s,
+  (count(*) FILTER (label = 'ham' AND quality = 0))::BIGINT AS hq, (count(*) FILTER (label = 'spam' AND quality = 0))::BIGINT AS sq FROM train GROUP BY 1)
+SELECT slot, h - hq AS count_ham, 0::BIGINT AS count_spam, h >> 1 AS archive_ham, s - sq AS archive_spam, 'taken,taken,refused,error' AS said FROM n WHERE h > hq OR h > 1 OR s > sq""",
+    "model_learn": f"WITH {TRAIN}, {SITE} SELECT * FROM site",
     "manifest_available": f"SELECT m.code, m.name, m.sentences::BIGINT AS sentences, (SELECT count(*) FROM documents d WHERE d.lang = m.code) AS documents FROM (VALUES {_manifest}) AS m(code, name, sha256, sentences)",
     "manifest_outdated": f"SELECT l.code, CASE WHEN m.code IS NULL THEN 'unpublished' ELSE 'changed' END AS state FROM (VALUES {_local}) AS l(code, sha256) LEFT JOIN (VALUES {_manifest}) AS m(code, name, sha256, sentences) USING (code) WHERE m.code IS NULL OR m.sha256 <> l.sha256",
     "stream_learn": f"WITH {TRAIN}, {SITE} SELECT slot, count_ham, count_spam, 0::BIGINT AS archive_ham, 0::BIGINT AS archive_spam FROM site",
+    "stream_learn_repeats": f"""WITH {features("train", _REPEATS, "doc_id", "text", "label")}, {SITE},
+t AS (SELECT count(*) FILTER (label = 'ham') || ',' || count(*) FILTER (label = 'spam') AS learned FROM {_REPEATS})
+SELECT slot, count_ham, count_spam, 0::BIGINT AS archive_ham, 0::BIGINT AS archive_spam, learned FROM site CROSS JOIN t""",
+    "background_files": f"WITH {DOCS} SELECT lang, {HASH} & {(1 << SMALL_BITS) - 1} AS slot, count(*) AS cnt FROM feat WHERE lang IS NOT NULL GROUP BY ALL",
+    "manifest_files": "WITH l AS (SELECT min(lang) AS first, max(lang) AS last FROM documents) SELECT first AS code, 'changed' AS state FROM l UNION ALL SELECT last, 'unpublished' FROM l",
     "codec_round_trip": f"WITH {TRAIN}, {SITE} SELECT * FROM site",
 }

@@ -6,20 +6,24 @@ ham. Queries that have a SQL twin hash features by MD5, which every engine has.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
+from string import ascii_letters, ascii_lowercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import feature_hash, slot
+from ..functions.fs import Folder
+from ..functions.hashing import HASH_VERSION, feature_hash, slot
 from ..functions.shared import cut, shared_folder, spread
 from ..operators import features as fx
 from ..operators.language import LanguageSet
 from ..operators.layers import CountTable, Layer, label_of, layer_counts
 from ..operators.scoring import ratios, verdict
 from ..params import ExtractParams, ModelParams
-from ..sources import catalog
+from ..sources import background, catalog
+from ..sources.codec import decode_layer, encode_background, encode_layer
 from ..sources.store import CountStore
 from ..streaming.learning import learn_stream
 from .model import EvidenceModel
@@ -131,6 +135,53 @@ def feat_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_counts(texts, "c2", "c3", "c4", params=ExtractParams(char_ngrams="all"))
 
 
+def rewritten(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query
+def feat_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts in which some letters are written as character references: the same as of the texts."""
+    t = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("e"), F.lit("&#101;")), F.lit("o"), F.lit("&#x6F;"))
+    return family_counts(rewritten(spark, sf_dir, t), "w")
+
+
+@query
+def feat_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pairs of texts with characters that take no room: the same as of the texts."""
+    t = F.replace(F.replace("text", F.lit("a"), F.lit("\u200ba\u00ad")), F.lit("t"), F.lit("\u200dt\ufeff"))
+    return family_counts(rewritten(spark, sf_dir, t), "w2")
+
+
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ascii_letters)
+
+
+@query
+def feat_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts in full-width letters: the same as of the texts. Mail addresses are not folded, so texts with one stay."""
+    t = F.when(F.col("text").contains("@"), F.col("text")).otherwise(F.translate("text", ascii_letters, _WIDE))
+    return family_counts(rewritten(spark, sf_dir, t), "w")
+
+
+#: A letter of a script without spaces for each small Latin one.
+HAN = "".join(chr(0x4E00 + k) for k in range(26))
+
+
+@query
+def feat_unspaced_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character n-grams by default: of words that hold a letter of such a script, here in conversations."""
+    t = F.translate("text", ascii_lowercase, HAN)
+    texts = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), t.alias("text"))
+    return family_counts(texts, "c2", "c3", "c4")
+
+
+@query
+def feat_bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of addresses without a scheme: the same as of the whole addresses."""
+    t = F.concat(F.lit("see "), F.regexp_replace("url", "^https?://", ""))
+    return family_counts(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), t.alias("text")), "host")
+
+
 @query
 def feat_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each document's bag; documents without features have 0."""
@@ -352,24 +403,30 @@ def explain_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_store(spark: SparkSession, bits: int = BITS) -> CountStore:
-    return CountStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").install(bits)
+    """A store that is gone, with what streams write beside it, when the application ends."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for tail in ("", "-source", "-progress"):
+        Folder(spark, f"{path}{tail}").delete_on_exit()
+    return CountStore(spark, path).install(bits)
 
 
-def learned_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, h, cnt, label, sign, archive): each labelled text is learned in the order of ids; right after a text of
+def learned_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(seq, h, cnt, label, sign, archive), and the texts without their features: each labelled text is learned in the order of ids; right after a text of
     low quality, it is unlearned as the other class, which takes away more than there is."""
     rows = labelled(spark, sf_dir)
     learned = rows.select((F.col("doc_id") * 2).alias("seq"), "text", "label", F.lit(1).alias("sign"))
     other = F.when(F.col("label") == "spam", F.lit("ham")).otherwise(F.lit("spam"))
     wrong = rows.where("quality = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), "text", other.alias("label"), F.lit(-1).alias("sign"))
     both = learned.unionByName(wrong).withColumn("archive", F.lit(False))
-    met = fx.met(both, "seq", "label", "sign", "archive", outer=True)
-    return met.groupBy("seq", "label", "sign", "archive", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("feature").alias("cnt"))
+    met = fx.met(both, "seq", "label", "sign", "archive")
+    events = met.groupBy("seq", "label", "sign", "archive", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
+    return events, both.drop("text")
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> CountStore:
     store = new_store(spark)
-    store.apply_events(learned_hashes(spark, sf_dir), batch=0)
+    events, texts = learned_hashes(spark, sf_dir)
+    store.apply_events(events, 0, texts)
     return store
 
 
@@ -384,7 +441,8 @@ def store_clamped_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_store(spark)
     rows = cut(labelled_hashes(spark, sf_dir))
     store.apply(rows, "ham", 1, labelled(spark, sf_dir).count())
-    store.apply_events(learned_hashes(spark, sf_dir))
+    events, texts = learned_hashes(spark, sf_dir)
+    store.apply_events(events, texts=texts)
     return store.counts()
 
 
@@ -423,16 +481,36 @@ def store_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "generation long, recent_spam long, recent_ham long, learned_spam long, learned_ham long, version long")
 
 
-def unlearn_gate(learned_in, generation: int):
-    """Where a text learned in a generation is taken from, or why it is not."""
-    return F.when(learned_in > generation, F.lit("error")).when(learned_in < generation - 1, F.lit("refused")).when(learned_in == generation, F.lit("recent")).otherwise(F.lit("archive"))
+def _store_model(spark: SparkSession) -> EvidenceModel:
+    store = new_store(spark)
+    return EvidenceModel(store.load(), store=store, hash_mode=MODE)
+
+
+@query
+def model_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model with a store knows after learning all ham and then all spam."""
+    rows, m = labelled(spark, sf_dir), _store_model(spark)
+    for label in ("ham", "spam"):
+        m, _ = m.learn(rows.where(F.col("label") == label), label)
+    return m.site.counts
 
 
 @query
 def store_unlearn_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled texts, learned in one of five generations by turns, at generation 3."""
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.pmod("doc_id", F.lit(5)).alias("learned_in"))
-    return rows.withColumn("outcome", unlearn_gate(F.col("learned_in"), 3))
+    """Texts of low quality are taken back from this generation, the one before, an older one and one to come; the counters then, and what each said."""
+    rows, m = labelled(spark, sf_dir), _store_model(spark)
+    of = lambda label, weak=False: rows.where(F.col("label") == label).where("quality = 0" if weak else "true")
+    m, _ = m.learn(of("ham"), "ham")
+    m, _ = m.rotate().learn(of("spam"), "spam")
+    m, _ = m.rotate().learn(of("ham"), "ham")
+    said = []
+    for label, learned_in in (("ham", 2), ("spam", 1), ("ham", 0), ("ham", 3)):
+        try:
+            m, done = m.unlearn(of(label, weak=True), label, learned_in)
+            said.append("taken" if done else "refused")
+        except ValueError:
+            said.append("error")
+    return m.store.counts().withColumn("said", F.lit(",".join(said)))
 
 
 # ---- catalog and streams
@@ -466,16 +544,57 @@ def stream_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counts()
 
 
+@query
+def stream_learn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in which a third of the ids come again, with the same text under the other class, and some rows twice."""
+    store = new_store(spark)
+    source = f"{store.path}-source"
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "label")
+    other = rows.where("doc_id % 3 = 0").withColumn("label", F.when(F.col("label") == "spam", F.lit("ham")).otherwise(F.lit("spam")))
+    rows.unionByName(other).unionByName(rows.where("doc_id % 3 = 1")).write.parquet(source)
+    texts = spark.readStream.schema("doc_id long, text string, label string").option("maxFilesPerTrigger", 4).parquet(source)
+    learn_stream(texts, store, f"{store.path}-progress", mode=MODE).awaitTermination()
+    t = store.tally()
+    return store.counts().withColumn("learned", F.lit(f"{t.learned_ham},{t.learned_spam}"))
+
+
+def published(spark: SparkSession, sf_dir: str) -> tuple[LanguageSet, str]:
+    """The corpus's languages, and a folder with their table files."""
+    langs = LanguageSet.build(cut(language_hashes(spark, sf_dir)), SMALL_BITS)
+    folder = f"{shared_folder(spark)}/backgrounds-{uuid.uuid4().hex}"
+    background.publish(langs, folder)
+    Folder(spark, folder).delete_on_exit()
+    return langs, folder
+
+
+@query
+def background_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background tables written as files, read back and laid out as Parquet by language."""
+    _, folder = published(spark, sf_dir)
+    background.write_parquet(background.load(spark, folder), f"{folder}/parquet")
+    return background.read_parquet(spark, f"{folder}/parquet").tables
+
+
+@query
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table files held against the manifest of a release: one was learned further, one is not published."""
+    langs, folder = published(spark, sf_dir)
+    entries = {r["code"]: {"name": r["code"].upper(), "sha256": r["sha256"]} for r in catalog.local_rows(spark, folder).collect()}
+    first, *_, last = sorted(langs.meta)
+    grown = langs.select(first)
+    Folder(spark, folder).put(f"{first}.bin", encode_background(grown.plus(grown)))
+    manifest = {"hash_version": HASH_VERSION, "languages": {k: v for k, v in entries.items() if k != last}}
+    return catalog.outdated_rows(catalog.local_rows(spark, folder), catalog.manifest_rows(spark, manifest))
+
+
 @query
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer written in its binary form and read back."""
-    from ..sources.codec import decode_layer, encode_layer
-
     return decode_layer(spark, encode_layer(site_layer(spark, sf_dir))).counts
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Evidence for every document of the smallest corpus."""
-    sf_dir = "/root/testdata/sf0.001"
+    sf_dir = os.environ.get("TEXTASSAY_ENTRY_DIR", "/root/testdata/sf0.001")
     return model(spark, sf_dir).classify(table(spark, sf_dir, "documents"))
 

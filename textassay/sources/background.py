@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fs import Folder
 from ..operators.language import LanguageSet
 from ..operators.layers import CountTable
 from . import codec
@@ -42,9 +43,22 @@ def read(spark: SparkSession, path: str) -> CountTable:
 def write(table: CountTable, path: str) -> None:
     """One table file, complete or not at all."""
     os.makedirs(os.path.dirname(path) or ".", 0o755, exist_ok=True)
-    with open(f"{path}.part", "wb") as f:
-        f.write(codec.encode_background(table))
-    os.replace(f"{path}.part", path)
+    data, temp = codec.encode_background(table), f"{path}.part"
+    try:
+        with open(temp, "wb") as f:
+            f.write(data)
+        os.replace(temp, path)
+    finally:
+        if os.path.exists(temp):
+            os.unlink(temp)
+
+
+def publish(languages: LanguageSet, path: str) -> None:
+    """A table file for each language, in a folder that Spark reads."""
+    folder = Folder(languages.tables.sparkSession, path)
+    folder.make()
+    for lang in languages.meta:
+        folder.put(f"{lang}.bin", codec.encode_background(languages.select(lang)))
 
 
 def write_parquet(languages: LanguageSet, path: str) -> None:

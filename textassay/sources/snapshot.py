@@ -31,8 +31,11 @@ def _digest(identity: str) -> bytes:
 class FileSnapshot:
     """A layer's snapshot at a path of the driver's machine."""
 
-    def __init__(self, path: str, strict: bool = True) -> None:
-        self.path, self.strict = path, strict
+    def __init__(self, path: str, strict: bool = True, mode: int = 0o600) -> None:
+        """mode: the permissions that a file is written with. Strict readers refuse a file that others may write."""
+        if strict and mode & 0o022:
+            raise ValueError("a file that others may write would not be served when strict")
+        self.path, self.strict, self.mode = path, strict, mode
 
     def _trusted(self) -> bool:
         try:
@@ -59,11 +62,16 @@ class FileSnapshot:
         """Written beside its place and moved, so a reader sees a whole file."""
         folder = os.path.dirname(self.path) or "."
         os.makedirs(folder, 0o700, exist_ok=True)
+        data = _HEAD.pack(version, _digest(identity)) + encode_layer(layer, compressed=False)
         handle, temp = tempfile.mkstemp(dir=folder)
-        with os.fdopen(handle, "wb") as f:
-            f.write(_HEAD.pack(version, _digest(identity)) + encode_layer(layer, compressed=False))
-        os.chmod(temp, 0o600)
-        os.replace(temp, self.path)
+        try:
+            with os.fdopen(handle, "wb") as f:
+                f.write(data)
+            os.chmod(temp, self.mode)
+            os.replace(temp, self.path)
+        finally:
+            if os.path.exists(temp):
+                os.unlink(temp)
 
     def load(self, store: CountStore) -> Layer:
         """The store's layer: from the file if it is this version's, else from the store, and then written."""

@@ -13,20 +13,22 @@ import uuid
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.fs import Folder
 from ..functions.hashing import HASH_VERSION, slot
+from ..functions.ranges import place_among, quantiles
+from ..functions.shared import cut
 from ..operators.layers import Layer
 from ..params import MIN_STORE_BITS, check_bits
 
 SCHEMA_VERSION = 1
 COUNTERS = ("count_ham", "count_spam", "archive_ham", "archive_spam")
 _TEXTS = ("texts_ham", "texts_spam", "archive_texts_ham", "archive_texts_spam", "learned_ham", "learned_spam")
-#: Events of a chunk in the running sums of ``apply_events``.
-CHUNK = 4096
+#: Texts of a part in the running sums of ``apply_events``, about, and most parts.
+PART, MOST_PARTS = 4096, 256
 
 
 @dataclass(frozen=True)
@@ -67,11 +69,17 @@ def rotated(counts: DataFrame) -> DataFrame:
     return out.where("archive_ham > 0 OR archive_spam > 0")
 
 
-def running(events: DataFrame, keys: list[str], seq: str = "seq", delta: str = "delta", chunk: int = CHUNK) -> DataFrame:
+def parts_of(texts: DataFrame, seq: str = "seq") -> Column:
+    """A number that rises with ``seq`` and stands for about so many texts, however their numbers are spread."""
+    bounds = quantiles(texts, seq, max(1, min(MOST_PARTS, texts.count() // PART)))
+    return place_among(F.col(seq).cast("double"), bounds) if len(bounds) > 1 else F.lit(0)
+
+
+def running(events: DataFrame, keys: list[str], part_of: Column, seq: str = "seq", delta: str = "delta") -> DataFrame:
     """keys, total, low of clamped steps in order, in two levels, so a key with many events is spread over tasks."""
     part = [*keys, "__part"]
     inside = W.partitionBy(*part).orderBy(seq)
-    e = events.withColumn("__part", F.floor(F.col(seq) / chunk)).withColumn("__run", F.sum(delta).over(inside))
+    e = events.withColumn("__part", part_of).withColumn("__run", F.sum(delta).over(inside))
     parts = e.groupBy(*part).agg(F.sum(delta).alias("__sum"), F.min("__run").alias("__low"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
@@ -90,6 +98,8 @@ class CountStore:
     """The store in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        if not path.strip("/") or any(c in path for c in "\0\r\n*?{}[]"):
+            raise ValueError("a store needs the path of a folder, without wildcards")
         self.spark, self.path, self._folder = spark, path.rstrip("/"), Folder(spark, path)
 
     def install(self, bits: int = 20) -> CountStore:
@@ -158,19 +168,26 @@ class CountStore:
         bump = {k: max(0, meta[k] + sign * texts) for k in (kind, f"learned_{label}")}
         return self._commit(meta, replayed(self.counts(meta), steps), version=meta["version"] + texts, batch=meta["batch"] if batch is None else batch, **bump)["generation"]
 
-    def apply_events(self, events: DataFrame, batch: int | None = None) -> int:
-        """A batch of ordered steps (seq, doc_id, h, cnt, label, sign, archive), as if applied one by one; the generation now."""
+    def apply_events(self, events: DataFrame, batch: int | None = None, texts: DataFrame | None = None) -> int:
+        """A batch of ordered steps (seq, h, cnt, label, sign, archive), as if applied one by one; the generation now.
+
+        ``seq`` tells the texts apart and orders them. A text without features has a row whose
+        h is null, or stands in ``texts`` only: (seq, label, sign, archive) of all texts, which
+        spares reading the events for them.
+        """
         meta = self.meta()
         if batch is not None and meta["batch"] is not None and batch <= meta["batch"]:
             return meta["generation"]
         where = F.concat(F.when(F.col("archive"), F.lit("archive_")).otherwise(F.lit("count_")), F.col("label"))
         folded = events.where("h IS NOT NULL").groupBy("seq", slot(F.col("h"), meta["bits"]).alias("slot"), where.alias("counter")).agg(F.sum(F.col("cnt") * F.col("sign")).alias("delta"))
-        texts = events.select("seq", "label", "archive", F.col("sign").cast("long").alias("delta")).distinct()
+        texts = events.select("seq", "label", "sign", "archive").distinct() if texts is None else texts.select("seq", "label", "sign", "archive")
+        texts = cut(texts.withColumn("delta", F.col("sign").cast("long")))
+        part = parts_of(texts)
         kind = F.explode(F.array(F.concat(F.when(F.col("archive"), F.lit("archive_")).otherwise(F.lit("")), F.lit("texts_"), F.col("label")), F.concat(F.lit("learned_"), F.col("label"))))
-        moves = running(texts.withColumn("kind", kind), ["kind"]).collect()  # a row a text counter
+        moves = running(texts.withColumn("kind", kind), ["kind"], part).collect()  # a row a text counter
         n = texts.count()
         bump = {r["kind"]: max(meta[r["kind"]] + r["total"], r["total"] - r["low"]) for r in moves}
-        steps = running(folded, ["slot", "counter"])
+        steps = running(folded, ["slot", "counter"], part)
         return self._commit(meta, replayed(self.counts(meta), steps), version=meta["version"] + n, batch=meta["batch"] if batch is None else batch, **bump)["generation"]
 
     def rotate(self) -> None:
