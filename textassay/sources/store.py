@@ -144,6 +144,15 @@ class CountStore:
             raise ConcurrentWriteError("the store has changed meanwhile")
         return new
 
+    def take_over(self, counts: DataFrame, numbers: dict[str, int]) -> CountStore:
+        """Counters and numbers from elsewhere, as the next version of a store that is still empty."""
+        meta = self.meta()
+        if meta["version"] or meta["counts"]:
+            raise RuntimeError("only an empty store can take over counts")
+        slots = counts.where(F.col("slot").between(0, (1 << meta["bits"]) - 1)).where(" OR ".join(f"{c} > 0" for c in COUNTERS))
+        self._commit(meta, slots.select("slot", *COUNTERS), **numbers)
+        return self
+
     def load(self) -> Layer:
         """Both generations as one layer; counters and text counts are of one version."""
         meta = self.meta()
