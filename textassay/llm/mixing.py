@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 from .common import text_of
 
 #: Rows of a key range, about, and most ranges of a source (five hexadecimal digits of the key).
-RANGE_ROWS, RANGES = 20_000, 1 << 20
+RANGE_ROWS, RANGES = 2_000, 1 << 20
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most this many times.

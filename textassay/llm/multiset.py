@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ranges import place_among, quantiles
 from .common import cut, text_of
 
 LANES = 64
@@ -128,20 +129,12 @@ def _groups(rows: DataFrame, key: str) -> tuple[Column, int]:
     Coarse bounds are quantiles of the key, finer groups divide the way between two bounds evenly.
     """
     n = rows.count()
-    some = rows.where(F.col(key).isNotNull())
-    ranges = max(1, min(QUANTILES, n // (4 * GROUP_ROWS)))
-    bounds = sorted({float(q) for q in some.approxQuantile(key, [k / ranges for k in range(ranges + 1)], 0.25 / ranges)}) if n else []
+    bounds = quantiles(rows, key, max(1, min(QUANTILES, n // (4 * GROUP_ROWS)))) if n else []
     if len(bounds) < 2:
         return F.when(F.col(key).isNull(), 1).otherwise(0), 2
     fine = max(1, n // GROUP_ROWS // (len(bounds) - 1))
     value = F.col(key).cast("double")
-
-    def search(first: int, last: int) -> Column:
-        """Which two bounds the value lies between, found by halves."""
-        middle = (first + last) // 2
-        return F.lit(first) if first + 1 == last else F.when(value < F.lit(bounds[middle]), search(first, middle)).otherwise(search(middle, last))
-
-    coarse = search(0, len(bounds) - 1)
+    coarse = place_among(value, bounds)
     low, high = F.get(F.array(*map(F.lit, bounds[:-1])), coarse), F.get(F.array(*map(F.lit, bounds[1:])), coarse)
     part = F.least(F.greatest(F.floor((value - low) / (high - low) * F.lit(fine)), F.lit(0)), F.lit(fine - 1))
     last = (len(bounds) - 1) * fine

@@ -28,7 +28,7 @@ INCREMENTS = (12345, 1013904223, 1442695041, 1234567891)
 PRIME = (1 << 31) - 1
 
 #: Rows of a range of digests, about, and most hexadecimal digits of the ranges (their offsets meet in one task).
-RANGE_ROWS, DIGITS = 50_000, 5
+RANGE_ROWS, DIGITS = 5_000, 5
 #: Copies of a row that one task deals out at once.
 COPIES = 1 << 16
 
