@@ -231,8 +231,9 @@ def scored(model: OrdinalModel, text: Column, cutoff: float = CUTOFF) -> Column:
                 words, each = words_of(t)
                 if len(known) > 500_000:
                     known.clear()
-                for w in words.keys() - known.keys():
-                    known[w] = sum(weights.get(f, 0.0) for f in features_of(w))
+                for w in words:
+                    if w not in known:
+                        known[w] = sum(weights.get(f, 0.0) for f in features_of(w))
                 score[k] = sum(sorted(known[w] * c for w, c in words.items() if known[w])) * each
             above = own.above(score)
             grade = (above >= 0.5).sum(axis=1).astype(np.int32)
