@@ -157,6 +157,8 @@ ORACLES: dict[str, str] = {
     "feat_tlds": _family("link", "tld", f"{_URLS}"),
     "feat_paths": _family("link", "path", f"{_URLS}"),
     "feat_char_ngrams": f"WITH {features('item', 'benchmark', 'item_id', 'text', grams=True)} SELECT feature, count(*) AS occurrences, count(DISTINCT rid) AS texts FROM item WHERE regexp_matches(feature, '^c[234]:') GROUP BY feature",
+    "feat_char_ngrams_documents": f"WITH {features('feat', 'documents', 'doc_id', 'text', 'lang', grams='true')} SELECT feature, count(*) AS occurrences, count(DISTINCT rid) AS texts FROM feat WHERE feature LIKE 'c3:%' GROUP BY feature",
+    "feat_html_hosts": _family("link", "host", features("link", "(SELECT page_id, 'http://' || regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1) AS t0 FROM pages)", "page_id AS doc_id", "t0")),
     "feat_references": _family("feat", "w", DOCS),
     "feat_invisible": _family("feat", "w2", DOCS),
     "feat_compatible": _family("feat", "w", DOCS),

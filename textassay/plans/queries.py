@@ -125,7 +125,7 @@ def _pages_family(name: str, column: str, family: str) -> None:
     QUERIES[name] = run
 
 
-for _name, _column, _family in (("feat_tags", "html", "tag"), ("feat_links", "url", "url"), ("feat_hosts", "url", "host"), ("feat_tlds", "url", "tld"), ("feat_paths", "url", "path")):
+for _name, _column, _family in (("feat_tags", "html", "tag"), ("feat_links", "url", "url"), ("feat_hosts", "url", "host"), ("feat_tlds", "url", "tld"), ("feat_paths", "url", "path"), ("feat_html_hosts", "html", "host")):
     _pages_family(_name, _column, _family)
 
 
@@ -135,6 +135,13 @@ def feat_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_counts(texts, "c2", "c3", "c4", params=ExtractParams(char_ngrams="all"))
 
 
+@query
+def feat_char_ngrams_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-grams of three characters of all words."""
+    params = ExtractParams(char_ngrams="all", min_ngram=3, max_ngram=3)
+    return family_counts(table(spark, sf_dir, "documents"), "c3", params=params)
+
+
 def rewritten(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
