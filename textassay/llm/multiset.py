@@ -47,7 +47,8 @@ def strong_part(text: Column) -> Column:
     """array<bigint> of ``STRONG`` lanes below 2**32."""
     digests = F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
     lane = lambda k: lambda acc, h: (acc + F.conv(h.substr(8 * k + 1, 8), 16, 10).cast("long")).bitwiseAND(0xFFFFFFFF)
-    return F.array(*[F.aggregate(digests, F.lit(0).cast("long"), lane(k)) for k in range(STRONG)])
+    # bound as a lambda's variable, so that each paragraph is hashed once for all lanes
+    return F.transform(F.array(digests), lambda ds: F.array(*[F.aggregate(ds, F.lit(0).cast("long"), lane(k)) for k in range(STRONG)]))[0]
 
 
 def sketch_part(text: Column) -> Column:
