@@ -116,6 +116,9 @@ def test_hostile_texts(spark):
     got = bags(spark, rows)
     assert all({"w:words", "w2:words_follow"} <= set(got[k]) for k, _ in rows)
     assert "pcre:" in got[1]
+    edges = ["x" * 64 + ".", "x" * 63 + ".", "end." + "y" * 64, "end." + "y" * 63, "a." * 127, "a." * 126, "z" * 70 + " done."]
+    marked = bags(spark, list(enumerate(edges)))
+    assert ["pcre:" in marked[k] for k in range(len(edges))] == [True, False, True, False, True, False, False]
 
 
 def test_entities_are_decoded_once():

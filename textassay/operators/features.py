@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import feature_hash
 from ..functions.shared import spread
 from ..functions.ship import ship
-from ..functions.text import CLAUSE_MARKS, CURRENCY, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, chars, entities_decoded, nfkc, visible
+from ..functions.text import CLAUSE_MARKS, CURRENCY, FROM_THAI, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, chars, entities_decoded, nfkc, visible
 from ..params import ExtractParams
 
 # What the grammar of links, mail addresses and tags is made of. White space
@@ -90,8 +90,11 @@ def _items(texts: DataFrame, text: str) -> DataFrame:
     """``texts`` with ``__items``: structs of (whole, part), features met before words (whole) and clauses; and ``__unspaced``."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = spread(texts).withColumn("__t", visible(entities_decoded(t)))
-    df = df.withColumn("__links", F.regexp_extract_all("__t", F.lit(LINK), 0))
-    df = df.withColumn("__pcre", F.when(F.col("__t").rlike(_BEYOND) | ~F.is_valid_utf8(t), F.array(F.lit("pcre:"))).otherwise(_none()))
+    # each costly pattern is tried only on texts that hold what all of its matches hold
+    linked = F.col("__t").contains("://") | F.col("__t").rlike(r"[wW]{3}\.") | F.col("__t").rlike(r"\.[a-z][a-z]")
+    df = df.withColumn("__links", F.when(linked, F.regexp_extract_all("__t", F.lit(LINK), 0)).otherwise(_none()))
+    beyond = F.col("__t").rlike(rf"\.(?:{_RUN}|(?<={_RUN}{{{LABEL + 2}}}\.))") & F.col("__t").rlike(_BEYOND)
+    df = df.withColumn("__pcre", F.when(beyond | ~F.is_valid_utf8(t), F.array(F.lit("pcre:"))).otherwise(_none()))
     df = df.withColumn("__t", F.when(F.size("__links") > 0, F.regexp_replace("__t", LINK, " ")).otherwise(F.col("__t")))
     df = df.withColumn("__mails", F.when(F.col("__t").contains("@"), F.regexp_extract_all("__t", F.lit(MAIL), 1)).otherwise(_none()))
     df = df.withColumn("__t", F.when(F.size("__mails") > 0, F.regexp_replace("__t", MAIL, " ")).otherwise(F.col("__t")))
@@ -108,7 +111,7 @@ def _items(texts: DataFrame, text: str) -> DataFrame:
     clauses = F.filter(F.split("__t", CLAUSE_MARKS), lambda c: c != "")
     item = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), part.alias("part"))
     df = df.withColumn("__items", F.concat(F.transform("__before", item(True)), F.transform(clauses, item(False))))
-    return df.withColumn("__unspaced", (F.octet_length("__t") > F.char_length("__t")) & F.col("__t").rlike(UNSPACED))
+    return df.withColumn("__unspaced", (F.octet_length("__t") > F.char_length("__t")) & F.col("__t").rlike(FROM_THAI) & F.col("__t").rlike(UNSPACED))
 
 
 def _gram(padded: Column, k: Column, p: ExtractParams) -> Column:
