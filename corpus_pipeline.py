@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal or similar texts (five-word shingles, 0.8) the smallest id stays."""
-    return similar.one_of_each(docs)
+    """Of each group of near copies the smallest id stays: texts that SimHash links, and those whose five-word shingles overlap by 0.8."""
+    return similar.one_of_each(docs, fingerprints=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,8 @@ from textassay.llm import secret_scan, toxicity
 from textassay.llm.packing import default_vocabulary
 
 from .helpers import clashing, documents
+from .test_simhash import brute_fingerprint
+from .test_similar import all_pairs, components, edited
 
 BASE = "/root/testdata/sf0.001"
 
@@ -48,6 +53,30 @@ def test_copies_go_and_the_first_stays(stages):
     assert {before[i] for i in after} <= set(first) and all(first[t] == i for i, t in after.items())
 
 
+def test_near_copies_by_simhash_and_by_shingles_are_one_set_of_groups(spark):
+    """By brute force: pairs within two bits, pairs at 0.8 or more, and chains of both; the smallest id of each group stays."""
+    rng = random.Random(6)
+    texts = {}
+    for k in range(12):
+        base = [f"b{k}w{n}" for n in range(200)]
+        tail = [f"t{k}w{n}" for n in range(25)]
+        few = "again " * 60
+        # one fingerprint, few shingles in common; then a copy of the second by shingles
+        texts |= {10 * k: few + " ".join(tail), 10 * k + 1: few + " ".join(tail[:10] + tail[18:]), 10 * k + 2: few + " ".join(tail[:10] + tail[18:] + ["end"])}
+        texts |= {10 * k + 3 + n: edited(base, rng, f"{k}x{n}", n) for n in range(5)}
+    texts |= {200: None, 201: "", 202: " \n", 203: "only here"}
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    by_bits = {(a, b) for a, b in combinations(texts, 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    by_shingles = all_pairs({i: t or "" for i, t in texts.items()})
+    assert len(by_bits - by_shingles) > 10 and len(by_shingles - by_bits) > 10
+    alone = [set(components(texts, p).values()) for p in (by_bits, by_shingles)]
+    want = set(components(texts, by_bits | by_shingles).values())
+    assert want < alone[0] and want < alone[1]
+    got = cp.drop_near_copies(spark, documents(spark, [(i, t) for i, t in texts.items()] + [(300 + i, t) for i, t in texts.items()]), BASE)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+    assert all(r["text"] == texts[r["doc_id"]] for r in got.collect())
+
+
 def test_secrets_are_masked(stages):
     before, after = texts(stages[2]), texts(stages[3])
     vocab = secret_scan.default_vocabulary()

@@ -1,8 +1,10 @@
-"""Near-duplicate texts by an exact prefix filter over word shingles.
+"""Near-duplicate texts by an exact prefix filter over word shingles, and by SimHash on request.
 
-SimHash does not decide here: at a similarity of 0.8 two fingerprints of 64 bits differ
-in ten bits or so, more than any index by positions can promise to find. An exact filter
-over the same hashed shingles finds every pair instead.
+Neither finds what the other does. At a similarity of 0.8 two fingerprints of 64 bits
+differ in seven bits or so, more than any index by positions can promise to find; an
+exact filter over hashed shingles finds every such pair. Fingerprints count repeats, so
+texts within ``simhash.MAX_BITS`` may share far fewer distinct shingles than that. With
+``fingerprints`` the links of both make one set of groups.
 
 All shingles have one order: those seen in few texts of a sample first. Of a text
 with n shingles the first ``n - ceil(similarity * n) + 1`` in this order are its
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window as W
 
 from .common import bounded_batches, cut, text_of
 from .graph import components
-from .simhash import shingle_hashes
+from .simhash import near_duplicates, shingle_hashes
 
 #: Longest list whose pairs are all formed at once, and the members that all others of a longer one meet first.
 SHORT, PIVOTS = 48, 2
@@ -117,11 +119,12 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long")
 
 
-def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, fingerprints: bool = False) -> DataFrame:
     """doc_id, key (hash of the text) and root (the same for all rows of a group), a row per row.
 
     Rows of one text are one group. Null texts count as empty; texts without words
-    are linked to equal texts only.
+    are linked to equal texts only. With ``fingerprints`` texts are also linked as
+    ``simhash.near_duplicates`` links them, those without words among them.
     """
     bounded_batches(documents.sparkSession)
     body = text_of(text)
@@ -149,7 +152,8 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     single = slotted.join(_slots(repeated), "slot", "left_anti").select("key", "text")
     copied = slotted.join(_slots(repeated), "slot", "left_semi").join(texts.select(F.col("key").alias("t_key"), "id"), (F.col("key") == F.col("t_key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     copied = copied.select("key", "text").dropDuplicates(["key"])
-    read = cut(single.unionByName(copied).select("key", prefixes.asNondeterministic()("text").alias("p")).select("key", "p.*"))
+    each = single.unionByName(copied)
+    read = cut(each.select("key", prefixes.asNondeterministic()("text").alias("p")).select("key", "p.*"))
     index = read.select("key", "n", "rare", F.posexplode("prefix").alias("i", "list"))
     # shingles that the sample calls common, COMMON at most, are counted by partial sums: their lists may hold any share of the texts
     often = index.where("i >= rare")
@@ -180,7 +184,11 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     held = slotted.join(_slots(wanted), "slot", "left_semi").drop("slot")
     held = held.join(one, (F.col("key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(held.dropDuplicates(["key"]).select("key", shingles.asNondeterministic()("text").alias("shingles")))
-    edges = cut(_checked(pairs, sets, similarity))
+    edges = _checked(pairs, sets, similarity)
+    if fingerprints:
+        near = near_duplicates(each, "key")
+        edges = edges.unionByName(near.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    edges = cut(edges)
     roots = components(edges).select(F.col("node").alias("key"), "root")
 
     # what long lists hold besides: all pairs of texts that are in different groups so far
@@ -206,13 +214,13 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     return rows.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
-def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, fingerprints: bool = False) -> DataFrame:
     """The rows of ``documents`` that stay: of each group the row with the smallest id, whole and unchanged.
 
     A row with an id stays before one without; among texts of one id the one of the
     smallest key stays, and of wholly repeated rows one.
     """
-    found = cut(groups(documents, doc_id, text, words, similarity))
+    found = cut(groups(documents, doc_id, text, words, similarity, fingerprints))
     stay = cut(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("key"), F.col("m.doc_id").alias("id")))
     # texts of groups of one pass by; the rest meets what stays
     crowds = cut(found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
