@@ -45,7 +45,7 @@ UNSPACED = "[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED_SCRIPTS) + "]"
 FROM_THAI = r"[\x{E01}-\x{10FFFF}]"
 
 #: Characters that NFKC cannot change: texts of these only skip the normaliser.
-_STABLE = (
+STABLE = (
     r"[\x00-\x9F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}"
     r"\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{24F}\x{2012}-\x{2016}\x{2018}-\x{201F}\x{20AC}]"
 )
@@ -92,7 +92,7 @@ def entities_decoded(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Only texts with a character that may change go through Python."""
-    return F.coalesce(_nfkc_once(F.when((F.octet_length(text) > F.char_length(text)) & ~text.rlike(f"^{_STABLE}*+$"), text)), text)
+    return F.coalesce(_nfkc_once(F.when((F.octet_length(text) > F.char_length(text)) & ~text.rlike(f"^{STABLE}*+$"), text)), text)
 
 
 def visible(text: Column) -> Column:

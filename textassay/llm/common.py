@@ -9,25 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_folder
-from ..functions.ship import ship
-
-__all__ = ["batches_of", "bounded_batches", "cut", "literal_rows", "shared_folder", "ship", "table", "text_of"]
-
-#: Rows that go to a Python worker at once: whole texts can be long.
-BATCH_ROWS = 512
-
-
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Ready a session for operators in Python: send the modules along, keep Arrow batches of whole texts small.
-
-    A smaller batch size that is set already is left alone.
-    """
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    current = int(spark.conf.get(key, "0") or 0)
-    if current <= 0 or current > rows:
-        spark.conf.set(key, str(rows))
+from ..functions.ship import BATCH_ROWS, bounded_batches, ship
 
+__all__ = ["BATCH_ROWS", "batches_of", "bounded_batches", "cut", "literal_rows", "shared_folder", "ship", "table", "text_of"]
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:

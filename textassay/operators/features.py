@@ -5,7 +5,8 @@ string functions. Links, mail addresses and tags are taken out of a text first (
 leaves a space) and marks are counted; what is left is split into clauses, clauses into
 words, and each word gives its features. A text, a clause, a word and a feature are each
 one row of a chain of generators, so the work on words runs as compiled code, and no row
-moves between tasks.
+moves between tasks. Bags of hashes come from numpy instead for plain texts, which no rule
+but those for words, numbers and marks concerns (``packed``); the chain takes the others.
 
 Repetitions in the grammar are bounded, as labels of host names are: Java's regular
 expressions would otherwise recurse or rescan without end on hostile texts. A text that
@@ -14,12 +15,18 @@ goes beyond the bounds gets the feature ``pcre:``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..functions.hashing import feature_hash
-from ..functions.shared import spread
-from ..functions.ship import ship
+from ..functions.plain import Extractor, is_plain
+from ..functions.shared import cut, spread
+from ..functions.ship import bounded_batches
 from ..functions.text import CLAUSE_MARKS, CURRENCY, FROM_THAI, HTML_ELEMENTS, LETTERS, SPACE, UNSPACED, WORD, ascii_lower, chars, entities_decoded, nfkc, visible
 from ..params import ExtractParams
 
@@ -138,7 +145,7 @@ def met(texts: DataFrame, *keep: str, text: str = "text", params: ExtractParams
     the other one the optimizer filters on the array first, and would extract twice.
     """
     p = params or ExtractParams()
-    ship(texts.sparkSession)
+    bounded_batches(texts.sparkSession)
     base = texts.select(F.struct(*keep).alias("__keep"), F.col(text).alias("__text"))
     df = _items(base, "__text").select("__keep", "__unspaced", F.posexplode_outer("__items").alias("__i", "__item"))
     words = F.when(F.col("__item.whole"), F.array("__item.part")).otherwise(F.regexp_extract_all("__item.part", F.lit(LETTERS), 0))
@@ -183,10 +190,119 @@ def bags(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: E
     return occurrences(texts, doc_id, text, params).groupBy("doc_id", "feature").agg(F.count("*").alias("cnt"), F.min("ord").alias("ord"))
 
 
+def _decoded(batch: pa.RecordBatch, plain: bool) -> tuple[list[str], pa.Array]:
+    """Plain texts of a batch, an empty one in place of others; and those others as they came, null in place of the plain ones."""
+    texts, rest = [], []
+    for raw in batch.column("__text").to_pylist():
+        try:
+            text = (raw or b"").decode()
+        except UnicodeDecodeError:
+            text = None
+        fits = plain and text is not None and is_plain(text)
+        texts.append(text if fits else "")
+        rest.append(None if fits else raw or b"")
+    return texts, pa.array(rest, pa.binary())
+
+
+def by_plainness(texts: DataFrame, keep: tuple[str, ...], text: str, p: ExtractParams, run, *names: str, types: str) -> tuple[DataFrame, DataFrame]:
+    """What ``run(extractor, plain texts)`` gives in columns ``names`` for each plain text; and the rows of all others, with __row and __text.
+
+    Each text is looked at once: what comes out is cut off, as both parts are read from it.
+    """
+    bounded_batches(texts.sparkSession)
+    base = spread(texts.select(*keep, F.col(text).cast("string").cast("binary").alias("__text")))
+    schema = T.StructType([*base.select(*keep).schema.fields, *T._parse_datatype_string(types).fields, T.StructField("__text", T.BinaryType())])
+    args, plain = (p.min_word, p.max_word, p.word_bigrams), p.char_ngrams != "all"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = Extractor(*args)
+        for batch in batches:
+            some, rest = _decoded(batch, plain)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *run(extractor, some), rest], names=[*keep, *names, "__text"])
+
+    first = cut(base.mapInArrow(task, schema))
+    rest = first.where(F.col("__text").isNotNull()).select(*keep, F.col("__text").cast("string").alias("__text"))
+    return first.where(F.col("__text").isNull()).select(*keep, *names), rest.withColumn("__row", F.monotonically_increasing_id())
+
+
+def pack(h: Column, cnt: Column) -> Column:
+    """A hash and its count in one long."""
+    return F.shiftleft(h, 32).bitwiseOR(cnt)
+
+
+def packed(texts: DataFrame, *keep: str, text: str = "text", params: ExtractParams | None = None, mode: str = "xxh3", each: bool = False) -> DataFrame:
+    """The columns ``keep`` and bag: a row for each row of ``texts``; hashes with their counts, as ``pack`` joins them.
+
+    Written to the shared folder at once, so that it can be read again without extracting
+    again; only texts that are not plain are shuffled, by hash. With ``each``, features that
+    share a hash stand apart.
+    """
+    p = params or ExtractParams()
+
+    def run(extractor: Extractor, some: list[str]) -> list[pa.Array]:
+        ends, bags = extractor.hashed(some, mode, each)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bags, pa.int64()))]
+
+    plain, rest = by_plainness(texts, keep, text, p, run, "bag", types="bag array<long>")
+    h = feature_hash(F.col("feature"), mode).alias("h")
+    found = met(rest, *keep, "__row", text="__text", params=p, outer=True)
+    by = [*keep, "__row"]
+    bags = found.groupBy(*by, "feature").agg(F.count("*").alias("cnt")).select(*by, h, "cnt") if each else found.select(*by, h).groupBy(*by, "h").agg(F.count("*").alias("cnt"))
+    bags = bags.groupBy(*by).agg(F.collect_list(pack(F.col("h"), F.col("cnt"))).alias("bag")).drop("__row")
+    return plain.unionByName(cut(bags))
+
+
+def sizes(texts: DataFrame) -> DataFrame:
+    """doc_id, features, occurrences, most: the size of each row's bag, 0 of a text without features."""
+    p, names = ExtractParams(), ("features", "occurrences", "most")
+
+    def run(extractor: Extractor, some: list[str]) -> list[pa.Array]:
+        return [pa.array(c) for c in extractor.sizes(some).T]
+
+    plain, rest = by_plainness(texts, ("doc_id",), "text", p, run, *names, types=", ".join(f"{n} long" for n in names))
+    bags = met(rest, "doc_id", "__row", text="__text", params=p, outer=True).groupBy("doc_id", "__row", "feature").agg(F.count("feature").alias("cnt"))
+    found = bags.groupBy("doc_id", "__row").agg(F.count("feature").alias(names[0]), F.sum("cnt").alias(names[1]), F.max("cnt").alias(names[2]))
+    return plain.unionByName(found.drop("__row"))
+
+
+def strongest(texts: DataFrame, rates: np.ndarray, k: int, params: ExtractParams, mode: str, logs: bool = False) -> DataFrame:
+    """doc_id, feature, cnt: of each row those features that may be among the ``k`` that weigh most, all of texts that are not plain.
+
+    ``rates``: the ratio by slot, which goes to the tasks; what is left needs no more than
+    a small sort. A row's bag is taken by itself, so ids must not repeat.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(rates)
+
+    def run(extractor: Extractor, some: list[str]) -> list[pa.Array]:
+        ends, names, counts = extractor.strongest(some, mode, held.value, k, logs)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values) for values in (pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()))]
+
+    plain, rest = by_plainness(texts, ("doc_id",), "text", params, run, "features", "counts", types="features array<string>, counts array<long>")
+    plain = plain.select("doc_id", F.inline(F.arrays_zip(F.col("features").alias("feature"), F.col("counts").alias("cnt"))))
+    found = met(rest, "doc_id", "__row", text="__text", params=params).groupBy("doc_id", "__row", "feature").agg(F.count("*").alias("cnt"))
+    return plain.unionByName(found.drop("__row"))
+
+
+def unpacked(bags: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, h and cnt of packed bags: a row per text and hash."""
+    both = bags.select(*keep, F.explode("bag").alias("__both"))
+    return both.select(*keep, F.shiftrightunsigned("__both", 32).alias("h"), F.col("__both").bitwiseAND((1 << 32) - 1).alias("cnt"))
+
+
+def repeats(rows: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether an id stands in several rows."""
+    return not rows.groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def merged(bags: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, h, cnt of packed bags: those of one id are added up, which takes a shuffle only if an id stands in several rows."""
+    rows = unpacked(bags, doc_id)
+    return rows.groupBy(doc_id, "h").agg(F.sum("cnt").alias("cnt")) if repeats(bags, doc_id) else rows
+
+
 def hashed_bags(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", params: ExtractParams | None = None, mode: str = "xxh3") -> DataFrame:
     """doc_id, h, cnt: features that share a 32-bit hash are added up."""
-    hashed = occurrences(texts, doc_id, text, params).select("doc_id", feature_hash(F.col("feature"), mode).alias("h"))
-    return hashed.groupBy("doc_id", "h").agg(F.count("*").alias("cnt"))
+    return merged(packed(texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", params=params, mode=mode))
 
 
 def family(feature: Column) -> Column:

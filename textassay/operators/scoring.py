@@ -90,6 +90,24 @@ def ratios(bag: DataFrame, site: Layer | None, pretrained: Layer | None, params:
     return df.withColumn("r", r)
 
 
+def rated(bag: DataFrame, site: Layer, pretrained: Layer | None, params: ModelParams, background: CountTable | None = None) -> DataFrame:
+    """As ``ratios`` without a background by language, but the ratio is worked out once a slot where all tables fold alike."""
+    tables = [t for t in (site, pretrained, background) if t is not None]
+    if len({t.bits for t in tables}) > 1:
+        return ratios(bag, site, pretrained, params, background)
+    rates = slot_ratios(site, pretrained, params, background).select(F.col("h").alias("__slot"), "r")
+    out = bag.join(small(rates, most_rows(site) + most_rows(pretrained)), slot(F.col("h"), site.bits) == F.col("__slot"), "left").drop("__slot")
+    return out.withColumn("r", F.coalesce("r", F.lit(0.0)))
+
+
+def slot_ratios(site: Layer, pretrained: Layer | None, params: ModelParams, background: CountTable | None = None) -> DataFrame:
+    """h and r of all slots that a layer holds, h being the slot; the ratio of all others is 0."""
+    slots = site.counts.select(F.col("slot").alias("h"))
+    if pretrained is not None:
+        slots = slots.unionByName(pretrained.counts.select(F.col("slot").alias("h"))).distinct()
+    return ratios(slots, site, pretrained, params, background).select("h", "r")
+
+
 def score_sums(rated: DataFrame, log_counts: bool) -> DataFrame:
     """doc_id, log_odds, occurrences of (doc_id, h, cnt, r) rows."""
     return rated.groupBy("doc_id").agg(F.sum(weight(F.col("cnt"), log_counts) * F.col("r")).alias("log_odds"), F.sum("cnt").cast("long").alias("occurrences"))
