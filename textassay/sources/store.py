@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,6 +24,8 @@ from ..functions.fs import Folder
 from ..functions.hashing import HASH_VERSION, slot
 from ..functions.ranges import place_among, quantiles
 from ..functions.shared import cut
+from ..functions.ship import bounded_batches
+from ..operators.features import unpacked
 from ..operators.layers import Layer
 from ..params import MIN_STORE_BITS, check_bits
 
@@ -29,6 +34,8 @@ COUNTERS = ("count_ham", "count_spam", "archive_ham", "archive_spam")
 _TEXTS = ("texts_ham", "texts_spam", "archive_texts_ham", "archive_texts_spam", "learned_ham", "learned_spam")
 #: Texts of a part in the running sums of ``apply_events``, about, and most parts.
 PART, MOST_PARTS = 4096, 256
+#: Texts of a part, at least, where whole bags are folded in order: a part gives a row a slot and counter at most.
+BAGS_A_PART = 16384
 
 
 @dataclass(frozen=True)
@@ -80,12 +87,79 @@ def running(events: DataFrame, keys: list[str], part_of: Column, seq: str = "seq
     part = [*keys, "__part"]
     inside = W.partitionBy(*part).orderBy(seq)
     e = events.withColumn("__part", part_of).withColumn("__run", F.sum(delta).over(inside))
-    parts = e.groupBy(*part).agg(F.sum(delta).alias("__sum"), F.min("__run").alias("__low"))
+    return composed(e.groupBy(*part).agg(F.sum(delta).alias("__sum"), F.min("__run").alias("__low")), keys)
+
+
+def composed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total, low from (keys, __part, __sum, __low): the sums and lowest running sums of parts, one after the other."""
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
     return parts.groupBy(*keys).agg(F.sum("__sum").alias("total"), F.min(F.col("__before") + F.col("__low")).alias("low"))
 
 
+class Fold:
+    """Sums and lowest running sums by key of steps that come in order, batch by batch; dense in the keys."""
+
+    def __init__(self, size: int) -> None:
+        self.sums, self.lows, self.met = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+
+    def add(self, keys: np.ndarray, deltas: np.ndarray) -> None:
+        if not len(keys):
+            return
+        order = np.argsort(keys, kind="stable")
+        keys, deltas = keys[order], deltas[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        run = np.cumsum(deltas)
+        run -= np.repeat(run[starts] - deltas[starts], np.diff(starts, append=len(keys)))
+        k, low, total = keys[starts], np.minimum.reduceat(run, starts), np.add.reduceat(deltas, starts)
+        self.lows[k] = np.where(self.met[k], np.minimum(self.lows[k], self.sums[k] + low), low)
+        self.sums[k] += total
+        self.met[k] = True
+
+
+def folded_bags(bags: DataFrame, bits: int) -> DataFrame:
+    """slot, counter, total, low of (seq, counter, sign, bag) rows with packed bags.
+
+    Rows are dealt out in ranges of ``seq`` and sorted there, so a task folds whole bags in
+    order and gives a row a slot; ranges are then composed. Steps that all add need no order.
+    """
+    if bags.where("sign < 0").isEmpty():
+        sums = unpacked(bags, "counter").groupBy(slot(F.col("h"), bits).alias("slot"), "counter").agg(F.sum("cnt").alias("total"))
+        return sums.withColumn("low", F.col("total"))
+    size, spark = 1 << bits, bags.sparkSession
+    parts = min(max(1, bags.count() // PART), max(spark.sparkContext.defaultParallelism, bags.count() // BAGS_A_PART))
+    place = F.array_position(F.array(*map(F.lit, COUNTERS)), F.col("counter")) - 1
+    rows = bags.select("seq", place.alias("place"), "sign", "bag").repartitionByRange(parts, "seq").sortWithinPartitions("seq")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds: dict[int, Fold] = {}
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seq, places, signs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seq", "place", "sign"))
+            first = int(seq[0]) if first is None else first
+            bag = batch.column("bag")
+            lengths = np.diff(bag.offsets.to_numpy())
+            values = bag.flatten().to_numpy()
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            slots, deltas = (values >> 32) & (size - 1), (values & 0xFFFFFFFF) * signs[of]
+            for n in np.unique(places).tolist():
+                mine = places[of] == n
+                folds.setdefault(n, Fold(size)).add(slots[mine], deltas[mine])
+        for n, fold in folds.items():
+            at = np.flatnonzero(fold.met)
+            for k in range(0, len(at), 1 << 16):
+                part = at[k : k + (1 << 16)]
+                columns = [np.full(len(part), first, np.int64), part, np.full(len(part), n, np.int64), fold.sums[part], fold.lows[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__part", "slot", "place", "__sum", "__low"])
+
+    bounded_batches(spark)
+    found = rows.mapInArrow(task, "__part long, slot long, place long, __sum long, __low long")
+    counter = F.element_at(F.array(*map(F.lit, COUNTERS)), (F.col("place") + 1).cast("int"))
+    return composed(found, ["slot", "place"]).select("slot", counter.alias("counter"), "total", "low")
+
+
 def replayed(counts: DataFrame, steps: DataFrame) -> DataFrame:
     """Counters after (slot, counter, total, low); empty rows go."""
     wide = steps.groupBy("slot").agg(*[F.max(F.when(F.col("counter") == c, F.struct("total", "low"))).alias(f"s_{c}") for c in COUNTERS])
@@ -182,13 +256,13 @@ class CountStore:
 
         ``seq`` tells the texts apart and orders them. A text without features has a row whose
         h is null, or stands in ``texts`` only: (seq, label, sign, archive) of all texts, which
-        spares reading the events for them.
+        spares reading the events for them. In place of h and cnt, events may have packed bags,
+        a row a text, as ``features.packed`` gives them.
         """
         meta = self.meta()
         if batch is not None and meta["batch"] is not None and batch <= meta["batch"]:
             return meta["generation"]
         where = F.concat(F.when(F.col("archive"), F.lit("archive_")).otherwise(F.lit("count_")), F.col("label"))
-        folded = events.where("h IS NOT NULL").groupBy("seq", slot(F.col("h"), meta["bits"]).alias("slot"), where.alias("counter")).agg(F.sum(F.col("cnt") * F.col("sign")).alias("delta"))
         texts = events.select("seq", "label", "sign", "archive").distinct() if texts is None else texts.select("seq", "label", "sign", "archive")
         texts = cut(texts.withColumn("delta", F.col("sign").cast("long")))
         part = parts_of(texts)
@@ -196,7 +270,11 @@ class CountStore:
         moves = running(texts.withColumn("kind", kind), ["kind"], part).collect()  # a row a text counter
         n = texts.count()
         bump = {r["kind"]: max(meta[r["kind"]] + r["total"], r["total"] - r["low"]) for r in moves}
-        steps = running(folded, ["slot", "counter"], part)
+        if "bag" in events.columns:
+            steps = folded_bags(events.select("seq", where.alias("counter"), "sign", "bag"), meta["bits"])
+        else:
+            folded = events.where("h IS NOT NULL").groupBy("seq", slot(F.col("h"), meta["bits"]).alias("slot"), where.alias("counter")).agg(F.sum(F.col("cnt") * F.col("sign")).alias("delta"))
+            steps = running(folded, ["slot", "counter"], part)
         return self._commit(meta, replayed(self.counts(meta), steps), version=meta["version"] + n, batch=meta["batch"] if batch is None else batch, **bump)["generation"]
 
     def rotate(self) -> None:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.hashing import feature_hash
 from ..functions.shared import cut
-from ..operators.features import met
+from ..operators.features import packed
 from ..params import ExtractParams
 from ..plans.model import EvidenceModel
 from ..sources.store import CountStore
@@ -20,17 +19,16 @@ def labelled_events(batch: DataFrame, params: ExtractParams, mode: str, last_rot
     """Steps and texts for ``CountStore.apply_events`` of (doc_id, text, label[, sign][, ts]) rows.
 
     Every row is a step of its own, rows of one id and equal rows too: rows are numbered in
-    the order of their ids (of one id: learning first, then by class and text), and the
-    number goes through extraction with them. Texts dated before the last rotation go to the
+    the order of their ids (of one id: learning first, then by class; those alike in all this
+    move the same counters the same way, so their order changes nothing), and the
+    number goes through extraction with them. Events have packed bags. Texts dated before the last rotation go to the
     archive.
     """
     sign = F.col("sign") if "sign" in batch.columns else F.lit(1)
     late = (F.col(time) < F.lit(last_rotation).cast("timestamp")) if last_rotation and time in batch.columns else F.lit(False)
     rows = batch.select("doc_id", "text", "label", sign.cast("int").alias("sign"), F.coalesce(late, F.lit(False)).alias("archive"))
-    rows = cut(rows.orderBy("doc_id", F.desc("sign"), "label", "archive", "text").withColumn("seq", F.monotonically_increasing_id()))
-    events = met(rows, "seq", "label", "sign", "archive", params=params)
-    events = events.groupBy("seq", "label", "sign", "archive", feature_hash(F.col("feature"), mode).alias("h")).agg(F.count("*").alias("cnt"))
-    return events, rows.drop("text")
+    rows = cut(rows.orderBy("doc_id", F.desc("sign"), "label", "archive").withColumn("seq", F.monotonically_increasing_id()))
+    return packed(rows, "seq", "label", "sign", "archive", params=params, mode=mode), rows.drop("text")
 
 
 def learn_batch(store: CountStore, params: ExtractParams | None = None, mode: str = "xxh3", last_rotation: str | None = None) -> Callable[[DataFrame, int], None]:
