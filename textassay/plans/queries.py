@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from string import ascii_letters, ascii_lowercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..functions.hashing import HASH_VERSION, feature_hash, slot
 from ..functions.shared import cut, shared_folder, spread
 from ..operators import features as fx
 from ..operators.language import LanguageSet
-from ..operators.layers import CountTable, Layer, label_of, layer_counts
+from ..operators.layers import CountTable, Layer, clamp, label_of, layer_counts
 from ..operators.scoring import ratios, verdict
 from ..params import ExtractParams, ModelParams
 from ..sources import background, catalog
@@ -50,19 +51,34 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).join(labels, "doc_id")
 
 
-def hashed(texts: DataFrame) -> DataFrame:
-    """doc_id, h, cnt (1), as features are met."""
-    return fx.met(texts, "doc_id").select("doc_id", feature_hash(F.col("feature"), MODE).alias("h"), F.lit(1).cast("long").alias("cnt"))
-
-
 def counted(texts: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep``, h and cnt: how often features of a hash are met."""
-    return fx.met(texts, *keep).groupBy(*keep, feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
+    """The columns ``keep``, h and cnt: how often each text has features of a hash."""
+    return fx.unpacked(fx.packed(texts, *keep, mode=MODE), *keep)
 
 
 def labelled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, h, cnt."""
-    return counted(labelled(spark, sf_dir), "label")
+    return counted(labelled(spark, sf_dir).select("label", "text"), "label")
+
+
+def corpus(spark: SparkSession, sf_dir: str, labels: bool = True, each: bool = False) -> DataFrame:
+    """doc_id, lang and the packed bag of every document, extracted once; with ``labels`` also n_ham and n_spam, how often it is labelled so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    if not labels:
+        return fx.packed(docs, "doc_id", "lang", mode=MODE)
+    label = label_of(F.col("toxic"))
+    times = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.count(F.when(label == c, 1)).alias(f"n_{c}") for c in ("ham", "spam")])
+    docs = spread(docs).join(times, "doc_id", "left").na.fill(0, ["n_ham", "n_spam"])
+    return fx.packed(docs, "doc_id", "lang", "n_ham", "n_spam", mode=MODE, each=each)
+
+
+def layer_of(docs: DataFrame, bits: int = BITS) -> Layer:
+    """The layer of labelled documents of a corpus."""
+    texts = docs.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("ham", "spam")]).first()
+    rows = fx.unpacked(docs.where("n_ham > 0 OR n_spam > 0"), "n_ham", "n_spam")
+    of = lambda c: clamp(F.sum(F.col("cnt") * F.col(f"n_{c}"))).alias(f"count_{c}")
+    counts = rows.groupBy(slot(F.col("h"), bits).alias("slot")).agg(of("ham"), of("spam")).where("count_ham > 0 OR count_spam > 0")
+    return Layer(cut(counts), bits, texts["ham"], texts["spam"]).counted()
 
 
 def site_layer(spark: SparkSession, sf_dir: str, bits: int = BITS) -> Layer:
@@ -77,23 +93,37 @@ def pretrained_layer(spark: SparkSession, sf_dir: str) -> Layer:
     return Layer(cut(layer_counts(counted(rows, "label"), BITS)), BITS).counted()
 
 
-def language_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(table(spark, sf_dir, "documents"), "lang")
+def languages_of(docs: DataFrame, bits: int = BITS) -> LanguageSet:
+    """The languages of a corpus, or of (lang, bag) rows."""
+    langs = LanguageSet.build(fx.unpacked(docs, "lang"), bits)
+    return replace(langs, tables=cut(langs.tables))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> LanguageSet:
-    return LanguageSet.build(cut(language_hashes(spark, sf_dir)), BITS)
+    return languages_of(fx.packed(table(spark, sf_dir, "documents"), "lang", mode=MODE))
+
+
+def plain_of(docs: DataFrame) -> CountTable:
+    """All documents of a corpus as one table."""
+    counts = fx.unpacked(docs).groupBy(slot(F.col("h"), BITS).alias("slot")).agg(F.sum("cnt").alias("cnt"))
+    return CountTable.of(cut(counts), BITS)
 
 
 def plain_background(spark: SparkSession, sf_dir: str) -> CountTable:
-    """All documents as one table."""
-    return CountTable.of(cut(language_hashes(spark, sf_dir).select("h", "cnt")), BITS)
+    return plain_of(fx.packed(table(spark, sf_dir, "documents"), mode=MODE))
 
 
 def model(spark: SparkSession, sf_dir: str, **more) -> EvidenceModel:
     return EvidenceModel(site_layer(spark, sf_dir), hash_mode=MODE, **more)
 
 
+def classified(spark: SparkSession, sf_dir: str, background: Callable[[DataFrame], CountTable | LanguageSet] | None = None, **more) -> DataFrame:
+    """Scores of all documents; they are extracted once, for what is learned of them too."""
+    docs = corpus(spark, sf_dir)
+    m = EvidenceModel(layer_of(docs), hash_mode=MODE, background=background(docs) if background else None, **more)
+    return m.classify_packed(docs)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Sums of doubles agree between engines up to their order."""
     return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
@@ -193,6 +223,8 @@ def feat_bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feat_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each document's bag; documents without features have 0."""
     docs = table(spark, sf_dir, "documents")
+    if not fx.repeats(docs):
+        return fx.sizes(docs)
     sizes = fx.bags(docs).groupBy("doc_id").agg(F.count("*").alias("features"), F.sum("cnt").alias("occurrences"), F.max("cnt").alias("most"))
     out = docs.select("doc_id").join(sizes, "doc_id", "left")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("features", "occurrences", "most")])
@@ -200,23 +232,32 @@ def feat_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feat_family_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bag = fx.bags(table(spark, sf_dir, "documents")).groupBy("feature").agg(F.sum("cnt").alias("cnt"))
-    return bag.groupBy(fx.family(F.col("feature")).alias("family")).agg(F.count("*").alias("features"), F.sum("cnt").alias("occurrences"))
+    met = fx.occurrences(table(spark, sf_dir, "documents")).groupBy("feature").agg(F.count("*").alias("cnt"))
+    return met.groupBy(fx.family(F.col("feature")).alias("family")).agg(F.count("*").alias("features"), F.sum("cnt").alias("occurrences"))
 
 
 # ---- hashes and count tables
 
 
+#: Rows that one task tells hashes apart in, about.
+HASH_ROWS = 1 << 22
+
+
+def by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """h and cnt of all documents, the rows of a hash in one task, and in each task about so many rows, however many there are."""
+    bags = fx.packed(table(spark, sf_dir, "documents"), mode=MODE)
+    rows = bags.agg(F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()[0]
+    return fx.unpacked(bags).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // HASH_ROWS), "h").groupBy("h").agg(F.sum("cnt").alias("cnt"))
+
+
 @query
 def hash_fold_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language_hashes(spark, sf_dir)
-    return rows.groupBy(slot(F.col("h"), SMALL_BITS).alias("slot")).agg(F.countDistinct("h").alias("hashes"), F.sum("cnt").alias("cnt"))
+    return by_hash(spark, sf_dir).groupBy(slot(F.col("h"), SMALL_BITS).alias("slot")).agg(F.count("*").alias("hashes"), F.sum("cnt").alias("cnt"))
 
 
 @query
 def slot_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language_hashes(spark, sf_dir).select("h").distinct()
-    per_slot = rows.groupBy(slot(F.col("h"), BITS).alias("slot")).agg(F.count("*").alias("hashes"))
+    per_slot = by_hash(spark, sf_dir).groupBy(slot(F.col("h"), BITS).alias("slot")).agg(F.count("*").alias("hashes"))
     return per_slot.groupBy("hashes").agg(F.count("*").alias("slots"))
 
 
@@ -272,7 +313,7 @@ def layer_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def layer_unlearn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Take spam out of the ham counts: what is not there stops at 0."""
-    rows = labelled_hashes(spark, sf_dir).where("label = 'spam'").select("h", "cnt")
+    rows = counted(labelled(spark, sf_dir).where("label = 'spam'").select("text"))
     return site_layer(spark, sf_dir, SMALL_BITS).unlearn(rows, "ham").counts
 
 
@@ -294,20 +335,21 @@ def smoothed_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return languages(spark, sf_dir).detect(hashed(docs), docs)
+    docs = corpus(spark, sf_dir, labels=False)
+    return languages_of(docs).detect(fx.unpacked(docs, "doc_id"), docs)
 
 
 @query
 def language_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = languages(spark, sf_dir).likelihoods(hashed(table(spark, sf_dir, "documents")))
+    docs = corpus(spark, sf_dir, labels=False)
+    scores = languages_of(docs).likelihoods(fx.unpacked(docs, "doc_id"))
     return scores.select("doc_id", "lang", F.round("score", 4).alias("score"))
 
 
 @query
 def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = languages(spark, sf_dir).detect(hashed(docs), docs)
+    docs = corpus(spark, sf_dir, labels=False)
+    found = languages_of(docs).detect(fx.unpacked(docs, "doc_id"), docs)
     return docs.select("doc_id", "lang").join(found, "doc_id").groupBy("lang", "language").agg(F.count("*").alias("texts"))
 
 
@@ -341,27 +383,27 @@ def _scores(df: DataFrame) -> DataFrame:
 
 @query
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(model(spark, sf_dir).classify(table(spark, sf_dir, "documents")))
+    return _scores(classified(spark, sf_dir))
 
 
 @query
 def classify_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(model(spark, sf_dir, background=plain_background(spark, sf_dir)).classify(table(spark, sf_dir, "documents")))
+    return _scores(classified(spark, sf_dir, plain_of))
 
 
 @query
 def classify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(model(spark, sf_dir, background=languages(spark, sf_dir)).classify(table(spark, sf_dir, "documents")))
+    return _scores(classified(spark, sf_dir, languages_of))
 
 
 @query
 def classify_pretrained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(model(spark, sf_dir, pretrained=pretrained_layer(spark, sf_dir)).classify(table(spark, sf_dir, "documents")))
+    return _scores(classified(spark, sf_dir, pretrained=pretrained_layer(spark, sf_dir)))
 
 
 @query
 def classify_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(model(spark, sf_dir, params=ModelParams(log_counts=True)).classify(table(spark, sf_dir, "documents")))
+    return _scores(classified(spark, sf_dir, params=ModelParams(log_counts=True)))
 
 
 @query
@@ -373,12 +415,12 @@ def classify_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(model(spark, sf_dir).classify(table(spark, sf_dir, "documents")), "log_odds", "mean_log_odds", "evidence", "probability")
+    return rounded(classified(spark, sf_dir), "log_odds", "mean_log_odds", "evidence", "probability")
 
 
 @query
 def verdict_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = model(spark, sf_dir).classify(table(spark, sf_dir, "documents"))
+    scored = classified(spark, sf_dir)
     return scored.select("doc_id", verdict(F.round("evidence", 6)).alias("verdict"))
 
 
@@ -393,7 +435,7 @@ def explain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five features of each document that weigh most; equal weights in the order of the features."""
     from pyspark.sql.window import Window as W
 
-    all_ = model(spark, sf_dir).explain(table(spark, sf_dir, "documents")).drop("rank")
+    all_ = model(spark, sf_dir).strongest(table(spark, sf_dir, "documents").select("doc_id", "text"), 5)
     all_ = rounded(all_, "log_ratio", "weight", "total")
     order = W.partitionBy("doc_id").orderBy(F.abs("total").desc(), "feature")
     return all_.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
@@ -402,8 +444,8 @@ def explain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def explain_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions add up to the score."""
-    parts = model(spark, sf_dir).explain(table(spark, sf_dir, "documents"))
-    return rounded(parts.groupBy("doc_id").agg(F.sum("total").alias("log_odds")), "log_odds")
+    docs = corpus(spark, sf_dir, each=True)
+    return rounded(EvidenceModel(layer_of(docs), hash_mode=MODE).explained_sums(docs), "log_odds")
 
 
 # ---- the store
@@ -417,45 +459,48 @@ def new_store(spark: SparkSession, bits: int = BITS) -> CountStore:
     return CountStore(spark, path).install(bits)
 
 
-def learned_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(seq, h, cnt, label, sign, archive), and the texts without their features: each labelled text is learned in the order of ids; right after a text of
+def learned_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, label, sign, archive, bag): each labelled text is learned in the order of ids; right after a text of
     low quality, it is unlearned as the other class, which takes away more than there is."""
-    rows = labelled(spark, sf_dir)
-    learned = rows.select((F.col("doc_id") * 2).alias("seq"), "text", "label", F.lit(1).alias("sign"))
+    rows = fx.packed(labelled(spark, sf_dir), "doc_id", "label", "quality", mode=MODE)
+    learned = rows.select((F.col("doc_id") * 2).alias("seq"), "label", F.lit(1).alias("sign"), "bag")
     other = F.when(F.col("label") == "spam", F.lit("ham")).otherwise(F.lit("spam"))
-    wrong = rows.where("quality = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), "text", other.alias("label"), F.lit(-1).alias("sign"))
-    both = learned.unionByName(wrong).withColumn("archive", F.lit(False))
-    met = fx.met(both, "seq", "label", "sign", "archive")
-    events = met.groupBy("seq", "label", "sign", "archive", feature_hash(F.col("feature"), MODE).alias("h")).agg(F.count("*").alias("cnt"))
-    return events, both.drop("text")
+    wrong = rows.where("quality = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), other.alias("label"), F.lit(-1).alias("sign"), "bag")
+    return learned.unionByName(wrong).withColumn("archive", F.lit(False))
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> CountStore:
-    store = new_store(spark)
-    events, texts = learned_hashes(spark, sf_dir)
-    store.apply_events(events, 0, texts)
-    return store
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[CountStore, DataFrame]:
+    """A store after all steps, and the steps."""
+    store, events = new_store(spark), learned_bags(spark, sf_dir)
+    store.apply_events(events, 0, events.drop("bag"))
+    return store, events
+
+
+def _again(store: CountStore, events: DataFrame, label: str, texts: int | None = None) -> None:
+    """Learn all texts of a class once more."""
+    rows = events.where((F.col("sign") == 1) & (F.col("label") == label))
+    store.apply(fx.unpacked(rows), label, 1, rows.count() if texts is None else texts)
 
 
 @query
 def store_apply_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir).counts()
+    return _replayed(spark, sf_dir)[0].counts()
 
 
 @query
 def store_clamped_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same steps after all texts were learned as ham."""
     store = new_store(spark)
-    rows = cut(labelled_hashes(spark, sf_dir))
-    store.apply(rows, "ham", 1, labelled(spark, sf_dir).count())
-    events, texts = learned_hashes(spark, sf_dir)
-    store.apply_events(events, texts=texts)
+    events = learned_bags(spark, sf_dir)
+    rows = events.where("sign = 1")
+    store.apply(fx.unpacked(rows), "ham", 1, rows.count())
+    store.apply_events(events, texts=events.drop("bag"))
     return store.counts()
 
 
 @query
 def store_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _replayed(spark, sf_dir)
+    store, _ = _replayed(spark, sf_dir)
     store.rotate()
     return store.counts()
 
@@ -463,25 +508,24 @@ def store_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def store_rotate_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rotation, the spam again, and another: both generations meet in the archive."""
-    store = _replayed(spark, sf_dir)
+    store, events = _replayed(spark, sf_dir)
     store.rotate()
-    spam = labelled_hashes(spark, sf_dir).where("label = 'spam'")
-    store.apply(spam, "spam", 1, labelled(spark, sf_dir).where("label = 'spam'").count())
+    _again(store, events, "spam")
     store.rotate()
     return store.counts()
 
 
 @query
 def store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _replayed(spark, sf_dir)
+    store, events = _replayed(spark, sf_dir)
     store.rotate()
-    store.apply(labelled_hashes(spark, sf_dir).where("label = 'ham'"), "ham", 1, 1)
+    _again(store, events, "ham", 1)
     return store.load().counts
 
 
 @query
 def store_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _replayed(spark, sf_dir)
+    store, _ = _replayed(spark, sf_dir)
     before = store.tally()
     store.rotate()
     rows = [(t.generation, t.recent_spam, t.recent_ham, t.learned_spam, t.learned_ham, v) for t, v in ((before, store.version() - 1), (store.tally(), store.version()))]
@@ -567,7 +611,7 @@ def stream_learn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def published(spark: SparkSession, sf_dir: str) -> tuple[LanguageSet, str]:
     """The corpus's languages, and a folder with their table files."""
-    langs = LanguageSet.build(cut(language_hashes(spark, sf_dir)), SMALL_BITS)
+    langs = languages_of(fx.packed(table(spark, sf_dir, "documents"), "lang", mode=MODE), SMALL_BITS)
     folder = f"{shared_folder(spark)}/backgrounds-{uuid.uuid4().hex}"
     background.publish(langs, folder)
     Folder(spark, folder).delete_on_exit()
