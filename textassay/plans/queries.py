@@ -95,8 +95,9 @@ def pretrained_layer(spark: SparkSession, sf_dir: str) -> Layer:
 
 def languages_of(docs: DataFrame, bits: int = BITS) -> LanguageSet:
     """The languages of a corpus, or of (lang, bag) rows."""
-    langs = LanguageSet.build(fx.unpacked(docs, "lang"), bits)
-    return replace(langs, tables=cut(langs.tables))
+    tables = fx.unpacked(docs.where("lang IS NOT NULL"), "lang").groupBy("lang", slot(F.col("h"), bits).alias("h")).agg(F.sum("cnt").alias("cnt"))
+    langs = LanguageSet.build(tables := cut(tables), bits)
+    return replace(langs, tables=tables.withColumnRenamed("h", "slot"))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> LanguageSet:
